@@ -3,7 +3,7 @@
 Pieces are counted once per distinct pre-token. Texts are dealt into blocks of a bounded number of
 bytes; a block keeps its vocabulary of pre-tokens once and, for each text, a sparse vector of
 pre-token frequencies over it. The vocabularies of all blocks are reduced to the distinct pre-tokens,
-those are counted with the merges of the tokenizer, joined back to (block, pre-token), and each text's
+those are counted with the merges of the tokenizer, joined to (block, pre-token), and each text's
 count is the dot product of its frequencies and the piece counts. A frequent pre-token costs one row a block,
 so no key grows with the number of documents that hold it.
 
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, chunks, materialize, text_of
+from ._common import as_bytes, chunks, materialize, partitions, text_of
 from .pretokens import letters, splitter
 
 _BLOCK = "block long, ids array<long>, n_bytes array<long>, n_special array<long>, n_distinct array<int>, at binary, freq binary, vocab array<string>"
@@ -81,13 +81,20 @@ def _blocks(path: str, block_bytes: int):
 
 
 def _piece_counts(path: str):
+    """Rows come sorted by pre-token; the merges run once for each, and every block that holds it gets their number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = splitter(path).model
+        last, count = None, 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                found = model.encode_batch_fast([letters(x) for x in part["piece"].to_pylist()], add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([part["piece"], pa.array(map(len, found), pa.int64())], names=["piece", "n"])
+            pieces = batch["piece"].to_pylist()
+            new = [x for x, y in zip(pieces, [last, *pieces[:-1]], strict=True) if x != y]
+            found = [len(x) for a in range(0, len(new), 2048) for x in model.encode_batch_fast([letters(x) for x in new[a : a + 2048]], add_special_tokens=False)]
+            known = dict(zip(new, found, strict=True)) | ({last: count} if last is not None else {})
+            n = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            if pieces:
+                last, count = pieces[-1], int(n[-1])
+            yield pa.RecordBatch.from_arrays([batch["block"], pa.array((n << 32) | batch["pos"].to_numpy().astype(np.int64))], names=["block", "packed"])
 
     return run
 
@@ -122,8 +129,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     blocks = materialize(rows.mapInArrow(_blocks(path, block_bytes), _BLOCK), "token-blocks")
     words = blocks.select("block", F.posexplode("vocab").alias("pos", "piece"))
-    counted = words.select("piece").distinct().mapInArrow(_piece_counts(path), "piece string, n long")
-    packed = F.col("n") * F.lit(1 << 32) + F.col("pos")
-    back = words.join(counted, "piece").groupBy("block").agg(F.collect_list(packed).alias("packed"))
+    # One shuffle brings each pre-token's blocks together, sorted, so that it is counted once and joined in place.
+    lined = words.repartition(partitions(docs.sparkSession), "piece").sortWithinPartitions("piece")
+    back = lined.mapInArrow(_piece_counts(path), "block long, packed long").groupBy("block").agg(F.collect_list("packed").alias("packed"))
     sums = blocks.drop("vocab").join(back, "block", "left").mapInArrow(_sums, "id long, n_bytes long, n_tokens long")
     return sums.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
