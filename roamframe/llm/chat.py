@@ -1,13 +1,13 @@
 """Repair of turn order in conversations and their rendering, by minimum cost.
 
 A legal conversation is an optional system turn, then user and assistant turns by turns, user first. A dynamic program over
-the automaton of legal turns meets each turn of a conversation in order and gives it a role: its own or another (a relabel); as
+the automaton of legal turns meets each turn of a conversation in order and gives it a role: its own, user or assistant (a relabel); as
 a new turn, as part of the turn before (a merge), or after empty turns put in between (insertions). The least
 total cost wins; of equal ones the one with fewest insertions, then fewest relabels, then the smallest earlier role at the last
 difference, a merge before a new turn.
 
 Turns are ordered by turn, then role, then text, nulls first. A conversation is read as a stream: where the best ways to all states
-have one beginning in common, that beginning is settled and given out, so that memory is bounded for any length. Unknown
+have one beginning in common, that beginning is settled and given out, so that memory is bounded for any length. No turn becomes a system turn that was none. Unknown
 and null roles cost a relabel whatever they become; null text is empty. Null conversation ids make one conversation. Repeated rows are turns of their own.
 An empty table has no conversations. Further columns are not read.
 """
@@ -78,6 +78,8 @@ class Repair:
         new: dict[int, int] = {}
         back: dict[int, tuple[int, bool]] = {}
         for r in range(3):
+            if r == _SYSTEM != role:
+                continue
             relabel = int(r != role)
             ways = [(self.cost[s] + self._price(int(m), relabel, 0 if m else len(_BETWEEN[s, r])), s, not m) for s in sorted(self.cost) for m in (True, False) if (s == r if m else (s, r) in _BETWEEN)]
             if ways:
