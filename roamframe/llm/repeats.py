@@ -198,7 +198,7 @@ _ANCHOR = "hash long, k1 long, k2 long, at int, first int, last int"
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, "text", 4 << 20):
+        for table in chunks(batches, "text", 1 << 20):
             text, h, at, first, last = anchors(as_bytes(table["text"]), length)
             keys = [table[k].combine_chunks().take(pa.array(text)) for k in _KEY]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *keys, *(pa.array(x.astype(np.int32)) for x in (at, first, last))], names=["hash", "k1", "k2", "at", "first", "last"])
