@@ -352,7 +352,7 @@ def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, max_
     if has_large:
         windows = strings.join(large.select("hash"), "hash", "left_semi").mapInArrow(_windows(length), "w1 long, w2 long, k1 long, k2 long, a int, whole boolean")
         twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        hits = windows.where("not whole").join(twice, ["w1", "w2"])
+        hits = windows.where("not whole").join(materialize(twice, "repeats-windows"), ["w1", "w2"])
         covers = covers.unionByName(hits.select("k1", "k2", "a", (F.col("a") + length).alias("b")))
     spans = covers.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return candidates.select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, kept binary")
@@ -362,18 +362,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Remove each byte covered by a string of length bytes that also begins anywhere else.
 
     Per row its id, n_bytes, n_removed, n_spans and kept_sha256; with texts, docs itself with the remaining text, characters that lost a byte
-    left out, and these columns.
+    left out, and those of these columns whose names docs does not have.
     """
-    rows = _keyed(docs, text_col)
-    if not texts:
-        rows = rows.select(F.col(id_col), "k1", "k2", F.octet_length("__text").cast("long").alias("n_bytes"), F.sha2(F.col("__text").cast("binary"), 256).alias("own_sha256"))
-    else:
-        rows = rows.withColumn("n_bytes", F.octet_length("__text").cast("long")).withColumn("own_sha256", F.sha2(F.col("__text").cast("binary"), 256)).drop("__text")
+    names = docs.columns if texts else [id_col]
+    text = text_of(text_col)
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text).alias("k2"),
+        F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own_sha256"),
+    )
     copied = _keyed(docs.select(text_col), text_col).where(F.octet_length("__text") >= length).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(True).alias("copied"))
     cut = removals(docs, text_col, length, max_group).withColumn("cut_sha256", F.sha2("kept", 256))
-    if not texts:
-        cut = cut.drop("kept")
-    rows = rows.join(cut, ["k1", "k2"], "left").join(copied, ["k1", "k2"], "left")
+    # One written table of what befalls a text: the join with it has a plain shuffle on both sides, so that a text with very many copies can be split.
+    found = cut.join(copied, ["k1", "k2"], "full")
+    found = found.withColumn("kept", F.when(F.col("copied").isNull(), F.col("kept"))) if texts else found.drop("kept")
+    rows = rows.join(materialize(found, "repeats-found"), ["k1", "k2"], "left")
     copied_ = F.coalesce("copied", F.lit(False))
     out = rows.withColumns(
         {
@@ -382,12 +384,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "kept_sha256": F.when(copied_, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha256", "own_sha256")),
         }
     )
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if not texts:
-        return out.select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        return out.select("row.*", *own)
 
     @F.pandas_udf("string")
     def whole_characters(kept):
         return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"), na_action="ignore")
 
-    text = F.when(copied_, F.lit("")).otherwise(F.coalesce(whole_characters("kept"), F.col(text_col)))
-    return out.withColumn(text_col, text).select(*docs.columns, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    left = F.when(copied_, F.lit("")).otherwise(F.coalesce(whole_characters("kept"), F.col("row").getField(text_col)))
+    return out.select(*(left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), *(c for c in own if c not in names))

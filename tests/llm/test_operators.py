@@ -349,3 +349,16 @@ def test_repeats(spark, max_group):
     kept = repeats.remove_repeats(frame(spark, docs), length=40, max_group=max_group, texts=True)
     assert kept.columns[:8] == frame(spark, docs).columns and kept.count() == len(docs)
     assert repeats.remove_repeats(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_repeats_leave_columns_of_the_same_names_alone(spark):
+    rng = random.Random(7)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    texts = [f"one {shared} x", f"two {shared} y", "alone", None, "", f"one {shared} x"]
+    cols = ["k1", "k2", "kept", "copied", "row", "n_bytes", "own_sha256", "a.b"]
+    docs = spark.createDataFrame([(i, x, *[f"{c}{i}" for c in cols]) for i, x in enumerate(texts)], ["doc_id", "text", *cols])
+    got = repeats.remove_repeats(docs, length=40, texts=True)
+    assert got.columns == [*docs.columns, "n_removed", "n_spans", "kept_sha256"]
+    found = {r[0]: tuple(r) for r in got.collect()}
+    assert all(found[i][2:10] == tuple(f"{c}{i}" for c in cols) for i in range(len(texts)))
+    assert [found[i][1] for i in range(len(texts))] == ["", "twoy", "alone", None, "", ""]  # the spaces around are shared too
