@@ -7,12 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 1 << 17
 #: Text that the vectorised readers take at once; a larger text is taken alone.
 CHUNK_BYTES = 8 << 20
+#: Text that goes to Python in one batch; a larger text goes alone.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +44,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of about BATCH_BYTES, unless the session names another size: long texts would else fill large buffers on both sides."""
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -56,7 +66,7 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch by rows so that the text of a part stays near limit bytes."""
-    sizes = np.fromiter((len(x) for x in as_bytes(batch.column(column))), np.int64, batch.num_rows)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // limit
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):

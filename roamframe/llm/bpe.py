@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, slices, text_of
+from ._common import as_bytes, bounded_batches, slices, text_of
 from .pretokens import LETTER_BYTES, Splitter, letters, splitter
 
 #: A pre-token of more bytes than this is encoded as a tree of halves.
 LEAF_BYTES = 4096
 #: A text of more characters than this is cut into leaves that are dealt to all tasks.
 LONG_CHARS = 1 << 16
+#: Text whose ids and decoded texts a task holds at once; a larger text is taken alone.
+SLICE_BYTES = 1 << 20
 _MEMO = 200_000
 _BREAK = re.compile(r"\S(?=\s)")
 
@@ -189,7 +191,7 @@ def _whole_texts(path: str, keep, schema: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 found = [keep(code, code.encode(raw.decode())) for raw in as_bytes(part["text"])]
                 yield _rows(schema, part["id"].to_pylist(), found)
 
@@ -256,6 +258,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     Texts over long_chars are cut into leaves of about leaf_chars that all tasks share, and put together again by row.
     path: a byte-level tokenizer file, readable on every executor.
     """
+    bounded_batches(docs.sparkSession)
     keep = _finish(digests if outputs == DIGESTS else contents)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     is_long = F.length("text") > long_chars

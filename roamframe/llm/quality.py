@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, as_bytes, mix, pair, slices, span_hash, text_of
+from ._common import Words, as_bytes, bounded_batches, mix, pair, slices, span_hash, text_of
 
 BITS = 20
 SCALE = 12.0
@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a column of scores from 0 to 1; all columns are kept."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(weights)
     bits = (len(weights) - 1).bit_length() - 1
 

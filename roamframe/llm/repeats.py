@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, chunks, loads, materialize, mix, partitions, text_of
+from ._common import as_bytes, bounded_batches, chunks, loads, materialize, mix, partitions, slices, text_of
 
 LENGTH = 400
 GRAM = 32
@@ -312,15 +312,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_removed, n_spans, kept = [], [], []
-        for raw, spans in zip(as_bytes(batch["text"]), batch["spans"].to_pylist(), strict=True):
-            whole = merged([(x["a"], x["b"]) for x in spans])
-            n_removed.append(sum(b - a for a, b in whole))
-            n_spans.append(len(whole))
-            kept.append(b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in whole)], [*(a for a, _ in whole), len(raw)], strict=True)))
-        yield pa.RecordBatch.from_arrays([batch["k1"], batch["k2"], pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["k1", "k2", "n_removed", "n_spans", "kept"])
+_CUT = "k1 long, k2 long, n_removed long, n_spans long, cut_sha256 string, remains string"
+
+
+def _cut(texts: bool):
+    """What remains of each text: its digest and, with texts, its whole characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                n_removed, n_spans, digest, remains = [], [], [], []
+                for raw, spans in zip(as_bytes(part["text"]), part["spans"].to_pylist(), strict=True):
+                    whole = merged([(x["a"], x["b"]) for x in spans])
+                    kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in whole)], [*(a for a, _ in whole), len(raw)], strict=True))
+                    n_removed.append(sum(b - a for a, b in whole))
+                    n_spans.append(len(whole))
+                    digest.append(hashlib.sha256(kept).hexdigest())
+                    remains.append(kept.decode("utf-8", "ignore") if texts else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part["k1"], part["k2"], pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(remains, pa.string())],
+                    names=["k1", "k2", "n_removed", "n_spans", "cut_sha256", "remains"],
+                )
+
+    return run
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -329,18 +343,19 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"__text": text, "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("k2"), text)})
 
 
-def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, max_group: int = MAX_GROUP) -> DataFrame:
-    """By distinct text that has repeated strings and is no whole copy: k1, k2, n_removed, n_spans, kept (the remaining bytes)."""
+def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, max_group: int = MAX_GROUP, texts: bool = False) -> DataFrame:
+    """By distinct text that has repeated strings: k1, k2, n_removed, n_spans, cut_sha256 (of the remaining bytes) and, with texts, remains."""
     spark = docs.sparkSession
-    texts = _keyed(docs.select(text_col), text_col).select("k1", "k2", F.col("__text").alias("text")).where(F.octet_length("text") >= length)
-    found = texts.mapInArrow(_anchors(length), _ANCHOR)
+    bounded_batches(spark)
+    bodies = _keyed(docs.select(text_col), text_col).select("k1", "k2", F.col("__text").alias("text")).where(F.octet_length("text") >= length)
+    found = bodies.mapInArrow(_anchors(length), _ANCHOR)
     repeated = materialize(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "repeats-hashes")
     large = repeated.where(F.col("n") > max_group)
     has_large = not large.isEmpty()
     own = found.join(repeated.select("hash"), "hash").distinct()
     by_text = own.groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "at", "first", "last")).alias("anchors"))
     # Copies of a text are one from here on.
-    one = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    one = bodies.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     candidates = materialize(one.join(by_text, ["k1", "k2"]), "repeats-texts")
     strings = candidates.mapInArrow(_strings(length), f"{_STRING}, end int")
     # Strings that a text has twice are covered as they are.
@@ -355,7 +370,7 @@ def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, max_
         hits = windows.where("not whole").join(materialize(twice, "repeats-windows"), ["w1", "w2"])
         covers = covers.unionByName(hits.select("k1", "k2", "a", (F.col("a") + length).alias("b")))
     spans = covers.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return candidates.select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, kept binary")
+    return candidates.select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_cut(texts), _CUT)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, max_group: int = MAX_GROUP, texts: bool = False) -> DataFrame:
@@ -371,10 +386,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own_sha256"),
     )
     copied = _keyed(docs.select(text_col), text_col).where(F.octet_length("__text") >= length).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(True).alias("copied"))
-    cut = removals(docs, text_col, length, max_group).withColumn("cut_sha256", F.sha2("kept", 256))
+    cut = removals(docs, text_col, length, max_group, texts)
     # One written table of what befalls a text: the join with it has a plain shuffle on both sides, so that a text with very many copies can be split.
     found = cut.join(copied, ["k1", "k2"], "full")
-    found = found.withColumn("kept", F.when(F.col("copied").isNull(), F.col("kept"))) if texts else found.drop("kept")
+    found = found.withColumn("remains", F.when(F.col("copied").isNull(), F.col("remains")))
     rows = rows.join(materialize(found, "repeats-found"), ["k1", "k2"], "left")
     copied_ = F.coalesce("copied", F.lit(False))
     out = rows.withColumns(
@@ -388,9 +403,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not texts:
         return out.select("row.*", *own)
 
-    @F.pandas_udf("string")
-    def whole_characters(kept):
-        return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"), na_action="ignore")
-
-    left = F.when(copied_, F.lit("")).otherwise(F.coalesce(whole_characters("kept"), F.col("row").getField(text_col)))
+    left = F.when(copied_, F.lit("")).otherwise(F.coalesce("remains", F.col("row").getField(text_col)))
     return out.select(*(left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), *(c for c in own if c not in names))
