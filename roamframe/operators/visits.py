@@ -82,13 +82,21 @@ def condense_destinations(diary: DataFrame, keys: tuple[str, ...] = ("user_id",)
 
 
 def box_overlap(polygons: DataFrame, size: float = 100.0) -> DataFrame:
-    """Remove repeated boxes and boxes inside others: (location_id, x0, y0, x1, y1); of equal ones the smallest id stays."""
-    cells = polygons.withColumn("__cx", F.explode(_cells(F.col("x0"), F.col("x1"), size))).withColumn("__cy", F.explode(_cells(F.col("y0"), F.col("y1"), size)))
-    inner = cells.select(F.col("location_id").alias("i"), *[F.col(c).alias(f"i_{c}") for c in ("x0", "y0", "x1", "y1")], "__cx", "__cy")
+    """Remove repeated boxes and boxes inside others: (location_id, x0, y0, x1, y1); of equal ones the smallest id stays. Ids are distinct.
+
+    Equal boxes become one before boxes meet in square cells, so copies of a box form no pairs.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    first = polygons.groupBy(*sides).agg(F.min("location_id").alias("__first"))
+    cells = first.select(*sides, F.explode(_cells(F.col("x0"), F.col("x1"), size)).alias("__cx")).withColumn("__cy", F.explode(_cells(F.col("y0"), F.col("y1"), size)))
+    # An inner box lies in the outer one's cells, so the cell of its corner is enough.
+    inner = first.select(*[F.col(c).alias(f"i_{c}") for c in sides], F.floor(F.col("x0") / size).cast("long").alias("__cx"), F.floor(F.col("y0") / size).cast("long").alias("__cy"))
     inside = (F.col("i_x0") >= F.col("x0")) & (F.col("i_y0") >= F.col("y0")) & (F.col("i_x1") <= F.col("x1")) & (F.col("i_y1") <= F.col("y1"))
     equal = (F.col("i_x0") == F.col("x0")) & (F.col("i_y0") == F.col("y0")) & (F.col("i_x1") == F.col("x1")) & (F.col("i_y1") == F.col("y1"))
-    covered = inner.join(cells, ["__cx", "__cy"]).where(inside & (F.col("i") != F.col("location_id")) & (~equal | (F.col("location_id") < F.col("i")))).select(F.col("i").alias("location_id")).distinct()
-    return polygons.join(covered, "location_id", "left_anti")
+    covered = inner.join(cells, ["__cx", "__cy"]).where(inside & ~equal).select(*[F.col(f"i_{c}") for c in sides]).distinct()
+    same = lambda other, names: F.lit(True) if not names else F.col(names[0]).eqNullSafe(F.col(f"{other}{names[0]}")) & same(other, names[1:])
+    kept = first.join(covered, same("i_", sides), "left_anti").select(F.col("__first").alias("k_location_id"), *[F.col(c).alias(f"k_{c}") for c in sides])
+    return polygons.join(kept, same("k_", ["location_id", *sides]), "left_semi")
 
 
 def blocks_in_boxes(boxes: DataFrame, block: float = 1.0) -> DataFrame:

@@ -553,10 +553,14 @@ def detected_locations(spark, sf):
 _BOXES = """boxes AS (SELECT c_custkey AS location_id, CAST(c_custkey % 30 AS DOUBLE) AS x0, CAST(c_custkey % 20 AS DOUBLE) AS y0, c_custkey % 30 + 1.5 + c_custkey % 4 AS x1, c_custkey % 20 + 1.5 + c_custkey % 3 AS y1 FROM customer WHERE c_custkey <= 900)"""
 
 
-def _boxes(spark, sf):
+def _all_boxes(spark, sf):
     k = F.col("c_custkey")
-    df = table(spark, sf, "customer").where(k <= 900)
-    return df.select(k.alias("location_id"), (k % 30).cast("double").alias("x0"), (k % 20).cast("double").alias("y0"), (k % 30 + 1.5 + k % 4).cast("double").alias("x1"), (k % 20 + 1.5 + k % 3).cast("double").alias("y1"))
+    return table(spark, sf, "customer").select(k.alias("location_id"), (k % 30).cast("double").alias("x0"), (k % 20).cast("double").alias("y0"), (k % 30 + 1.5 + k % 4).cast("double").alias("x1"), (k % 20 + 1.5 + k % 3).cast("double").alias("y1"))
+
+
+def _boxes(spark, sf):
+    """The boxes that _BOXES names; the queries without SQL take all."""
+    return _all_boxes(spark, sf).where("location_id <= 900")
 
 
 @query(f"WITH {_BOXES} SELECT location_id FROM boxes i WHERE NOT EXISTS (SELECT 1 FROM boxes o WHERE o.location_id <> i.location_id AND i.x0 >= o.x0 AND i.y0 >= o.y0 AND i.x1 <= o.x1 AND i.y1 <= o.y1 AND (i.x0 <> o.x0 OR i.y0 <> o.y0 OR i.x1 <> o.x1 OR i.y1 <> o.y1 OR o.location_id < i.location_id))")
@@ -569,6 +573,16 @@ def intersecting_blocks(spark, sf):
     return visits.blocks_in_boxes(_boxes(spark, sf))
 
 
+@query()
+def overlaps_removed_all(spark, sf):
+    return visits.box_overlap(_all_boxes(spark, sf), 10.0).select("location_id")
+
+
+@query()
+def intersecting_blocks_all(spark, sf):
+    return visits.blocks_in_boxes(_all_boxes(spark, sf))
+
+
 @query()
 def city_blocks(spark, sf):
     return city.to_frames(spark, city.random_city(20, 20, seed=1))["blocks"]
