@@ -221,8 +221,8 @@ def _overlap_sql(on: str) -> str:
 
 
 def _overlap_sides(spark, sf):
-    s = stops(spark, sf)
-    moved = s.withColumns({"start_timestamp": F.col("start_timestamp") - 7200, "end_timestamp": F.col("end_timestamp") + 3600})
+    """The left table has stops of two pings, as in _overlap_sql; the queries without SQL take all stops."""
+    s, moved = _all_overlap_sides(spark, sf)
     return s.where("n_pings = 2"), moved
 
 
@@ -236,6 +236,21 @@ def overlapping_visits_any(spark, sf):
     return con.overlapping_visits(*_overlap_sides(spark, sf))
 
 
+def _all_overlap_sides(spark, sf):
+    s, moved = stops(spark, sf), stops(spark, sf)
+    return s, moved.withColumns({"start_timestamp": F.col("start_timestamp") - 7200, "end_timestamp": F.col("end_timestamp") + 3600})
+
+
+@query()
+def overlapping_visits_matched_all(spark, sf):
+    return con.overlapping_visits(*_all_overlap_sides(spark, sf), match_location=True)
+
+
+@query()
+def overlapping_visits_any_all(spark, sf):
+    return con.overlapping_visits(*_all_overlap_sides(spark, sf))
+
+
 @query(f"WITH {STOPS} SELECT a.location_id AS l_place, count(*) AS n FROM stops a JOIN stops b ON a.start_timestamp < b.end_timestamp AND b.start_timestamp < a.end_timestamp GROUP BY 1")
 def interval_overlap_count(spark, sf):
     s = stops(spark, sf)
