@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WHITE_TABLE, Words, as_bytes, loads, materialize, partitions, slices, text_of
@@ -136,15 +136,17 @@ def _fingerprints(width: int):
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 bits = fingerprints_of(as_bytes(part["text"]), width)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(bits.view(np.int64))], names=["id", "bits"])
+                own = [x for x in part.schema.names if x not in ("id", "text")]
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(bits.view(np.int64)), *[part[x] for x in own]], names=["id", "bits", *own])
 
     return run
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, bits) per row: the 64-bit fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(width), "id long, bits long")
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, key: Column | None = None) -> DataFrame:
+    """(id, bits) per row: the 64-bit fingerprint as a signed long. With key, a binary column, that too."""
+    own = [] if key is None else [key.alias("key")]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), *own)
+    return rows.mapInArrow(_fingerprints(width), "id long, bits long" + ", key binary" * len(own))
 
 
 @functools.cache
@@ -246,12 +248,30 @@ def near_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return lined.mapInArrow(_links(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """Per row its id, bits and component_id: the smallest id reachable by links of at most distance differing bits."""
-    rows = materialize(simhash(docs, id_col, text_col, width), "simhash")
+def _classed(rows: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """rows as written, and of each fingerprint among them (bits, root, component_id): root names its class."""
+    rows = materialize(rows, "simhash")
     nodes = materialize(rows.groupBy("bits").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = components(near_links(nodes, distance), "simhash-links")
     joined = nodes.join(roots.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.select("bits", "root").join(least, "root").select("bits", "component_id")
-    return rows.join(classes, "bits").select(F.col("id").alias(id_col), "bits", "component_id")
+    return rows, joined.select("bits", "root").join(least, "root").select("bits", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+    """Per row its id, bits and component_id: the smallest id reachable by links of at most distance differing bits."""
+    rows, classes = _classed(simhash(docs, id_col, text_col, width), distance)
+    return rows.join(classes.drop("root"), "bits").select(F.col("id").alias(id_col), "bits", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+    """A row of docs per class of near duplicates, that of smallest id; of rows with that id, of smallest hash of id and text.
+
+    Rows are told apart by that hash, so equal or null ids of different classes are no obstacle.
+    """
+    key = F.unhex(F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text_of(text_col)), 256))
+    rows, classes = _classed(simhash(docs, id_col, text_col, width, key), distance)
+    first = rows.join(classes, "bits").where(F.col("id").eqNullSafe(F.col("component_id")))
+    keep = first.groupBy("root").agg(F.min("key").alias("__key")).select("__key")
+    # Rows of one key are copies of one text under one id.
+    return docs.withColumn("__key", key).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

@@ -1,5 +1,8 @@
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from roamframe.llm import quality
 from roamframe.llm.queries import QUERIES
@@ -33,3 +36,17 @@ def test_stages_against_brute_force(spark, sf):
 
 def test_run_and_query(spark, sf):
     assert QUERIES["pipeline"](spark, sf).count() == cp.run(spark, sf).count() > 0
+
+
+def test_equal_and_null_ids_are_judged_by_row(spark, sf):
+    rng = random.Random(5)
+    prose = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(8)]
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy(F.length("text").desc(), "item_id").first().text
+    # Ids 5 lead two classes; a 5 in the class of 3 goes; nulls lead classes of their own, twice the same text.
+    docs = [(5, prose[0]), (5, prose[1]), (5, prose[1]), (3, prose[2]), (5, prose[2]), (None, prose[3]), (None, prose[4]), (None, prose[4]), (7, prose[5]), (None, prose[5]), (8, None), (9, "")]
+    left = cp.drop_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf)
+    want = [(5, prose[0]), (5, prose[1]), (3, prose[2]), (None, prose[3]), (None, prose[4]), (7, prose[5]), (8, None)]
+    assert left.columns == ["doc_id", "text"] and Counter(map(tuple, left.collect())) == Counter(want)
+    rows = [(5, prose[6]), (5, leak), (None, prose[7]), (None, leak), (1, leak), (None, None)]
+    clean = cp.drop_contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert Counter(map(tuple, clean.collect())) == Counter([rows[0], rows[2], rows[5]])
