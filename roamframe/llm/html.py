@@ -4,7 +4,9 @@ A page's text is cut into blocks at block-level tags; a block's tag path leads f
 path, text length and punctuation are aggregated over its blocks; both ratios (per block) are smoothed over the
 blocks in page order, fused as a product, and paths whose smoothed mean reaches a share of the page's spread are content paths. The
 content element is the smallest one that holds most of the text on content paths, an article or main element if there is one; all its blocks
-are the text, in order, those in menus, headers, footers, sidebars, notices, adverts, forms and comments of readers left out.
+are the text, in order, those in menus, headers, footers, sidebars, notices, adverts, forms and comments of readers left out. Such elements
+are known by tag, role or a whole name of class or id; html, body, main and article are never left out by name, nor is an element with over half
+of the page's text on content paths. Elements with other names are judged by path alone.
 
 Null and empty pages have an empty text, as have pages without text. Broken and cut-off markup is read as far as it goes: an unfinished tag at
 the end is dropped. Whole pages are read. Repeated rows stay rows; further columns are kept.
@@ -38,8 +40,12 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer"
     " cookie cookies consent notice notices alert popup modal overlay comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe signup login search pager pagination skip copyright".split()
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_PART = re.compile(r"[a-zA-Z]+")
+#: An inline element marked with one of these is no part of its sentence.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo".split())
+#: Never left out, whatever their names.
+WHOLE = frozenset("html body main article".split())
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_OPENED = re.compile(r"<([a-zA-Z][^\s/>]*)")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 #: A path is content from this share of the standard deviation of smoothed ratios on.
@@ -48,22 +54,20 @@ SHARE = 0.5
 MOST = 0.7
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, marks: frozenset[str] = MARKS) -> bool:
+    """Whether a whole name of class or id is a mark (parts between hyphens are none), or the role is."""
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "")
-        if name.lower() == "role":
-            if value.lower() in _ROLES:
-                return True
-        elif any(x.lower() in MARKS for x in _PART.findall(value)):
+        names = next((v for v in values if v), "").lower().split()
+        if any(x in (_ROLES if name.lower() == "role" and marks is MARKS else marks) for x in names):
             return True
     return False
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "out", "path")
+    __slots__ = ("tag", "parent", "depth", "marked", "path")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: _Node | None, marked: bool):
+        self.tag, self.parent, self.marked = tag, parent, marked
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}" if parent else tag
 
@@ -116,15 +120,15 @@ def blocks(html: str) -> list[tuple[_Node, str]]:
         if tag in INLINE:
             if tag in ("br", "img"):
                 held.append(" ")
-            elif tag not in VOID and _marked(attributes) and not attributes.rstrip().endswith("/"):
-                # A marked inline element, such as an advert in a span, is left out with what it holds.
+            elif tag not in VOID and _marked(attributes, ADVERTS) and not attributes.rstrip().endswith("/"):
+                # An advert in a line of text is left out with what it holds, if that is no block.
                 close = re.compile(rf"</?{tag}\b[^>]*>", re.IGNORECASE)
                 depth = 1
                 here = position
                 while depth and (m := close.search(html, here)):
                     depth += -1 if m[0][1] == "/" else 1
                     here = m.end()
-                if not depth:
+                if not depth and all(x.lower() in INLINE for x in _OPENED.findall(html[position:here])):
                     position = here
             continue
         flush()
@@ -139,7 +143,7 @@ def blocks(html: str) -> list[tuple[_Node, str]]:
             if node.tag in SCOPE and node.tag not in ends:
                 break
             node = node.parent
-        at = _Node(tag, at, at.out or tag in LEFT_OUT or _marked(attributes))
+        at = _Node(tag, at, tag in LEFT_OUT or tag not in WHOLE and _marked(attributes))
         if attributes.rstrip().endswith("/") and tag not in SCOPE and tag != "p":
             at = at.parent
     flush()
@@ -177,20 +181,43 @@ def content_paths(found: list[tuple[_Node, str]]) -> set[str]:
     return {p for p in sums if sums[p] / count[p] >= SHARE * spread} | {best}
 
 
-def main_text(html: str) -> str:
-    """The text of the content element of a page, a line per block."""
-    found = [x for x in blocks(html) if not x[0].out]
-    if not found:
-        return ""
-    paths = content_paths(found)
+def _weights(found: list[tuple[_Node, str]], paths: set[str]) -> dict[_Node, int]:
+    """By element the length of its text on content paths."""
     weight: dict[_Node, int] = defaultdict(int)
-    total = 0
     for node, text in found:
         if node.path in paths:
-            total += len(text)
             while node is not None:
                 weight[node] += len(text)
                 node = node.parent
+    return weight
+
+
+def _unmarked(found: list[tuple[_Node, str]]) -> list[tuple[_Node, str]]:
+    """The blocks in no marked element; an element with over half of the page's text on content paths counts as not marked."""
+    weight = None
+
+    def out(node: _Node | None) -> bool:
+        nonlocal weight
+        while node is not None:
+            if node.marked:
+                if weight is None:
+                    weight = _weights(found, content_paths(found))
+                if 2 * weight[node] <= max(weight.values()):
+                    return True
+            node = node.parent
+        return False
+
+    return [x for x in found if not out(x[0])]
+
+
+def main_text(html: str) -> str:
+    """The text of the content element of a page, a line per block."""
+    found = _unmarked(blocks(html))
+    if not found:
+        return ""
+    paths = content_paths(found)
+    weight = _weights(found, paths)
+    total = max(weight.values())
     inner = [n for n, w in weight.items() if w >= MOST * total]
     named = [n for n in inner if n.tag in ("article", "main")]
     content = max(named or inner, key=lambda n: n.depth)

@@ -312,6 +312,17 @@ def test_html_text():
     assert html.main_text("plain text") == "plain text"
 
 
+def test_html_names_do_not_leave_out_a_page():
+    text = "<h1>Title</h1><p>One long sentence, with marks. And more of it.</p><p>Two, too. And an end, as long as the first one.</p>"
+    want = "Title\nOne long sentence, with marks. And more of it.\nTwo, too. And an end, as long as the first one."
+    for page in (
+        f"<body class='no-sidebar'>{text}</body>", f"<html class='menu-closed'><body>{text}</body></html>", f"<body class=menu><div id='page' class='header-fixed'>{text}</div></body>",
+        f"<article class='post category-notices has-comments'>{text}</article>", f"<main id=search>{text}</main>", f"<div class='content header'>{text}</div>", f"<form id=aspnet><div data-id='menu'>{text}</div></form>", f"<span class=ad><div>{text}</div></span>",
+    ):
+        assert html.main_text(f"{page}<div class='x ad'>Buy, now.</div>") == want, page
+    assert html.main_text("<p>A <span class=search>term</span> that is said, <span class='box ad'>Buy!</span> and so on.") == "A term that is said, and so on."
+
+
 def test_html_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "<p>x")], "page_id long, html string")
     assert sorted(rows(html.extract(df), "page_id", "text")) == [(1, ""), (2, ""), (3, "x")]
