@@ -3,10 +3,11 @@
 A page's text is cut into blocks at block-level tags; a block's tag path leads from the root to the element that holds it. By
 path, text length and punctuation are aggregated over its blocks; both ratios (per block) are smoothed over the
 blocks in page order, fused as a product, and paths whose smoothed mean reaches a share of the page's spread are content paths. The
-content element is the smallest one that holds most of the text on content paths, an article or main element if there is one; all its blocks
-are the text, in order, those in menus, headers, footers, sidebars, notices, adverts, forms and comments of readers left out. Such elements
-are known by tag, role or a whole name of class or id; html, body, main and article are never left out by name, nor is an element with over half
-of the page's text on content paths. Elements with other names are judged by path alone.
+content element is the smallest one that holds most of the text on content paths: a main or article element if there is one, else with the
+title that stands over it. The text, in order, is all its blocks, the blocks on content paths elsewhere, and the headings over any of them. Left
+out are blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments of readers. Such elements are known by tag, role or a
+whole name of class or id; html, body, main and article are never left out by name, nor is an element with over half of the page's text on
+content paths. Elements with other names are judged by path alone.
 
 Null and empty pages have an empty text, as have pages without text. Broken and cut-off markup is read as far as it goes: an unfinished tag at
 the end is dropped. Whole pages are read. Repeated rows stay rows; further columns are kept.
@@ -45,6 +46,7 @@ ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor
 #: Never left out, whatever their names.
 WHOLE = frozenset("html body main article".split())
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _OPENED = re.compile(r"<([a-zA-Z][^\s/>]*)")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -210,8 +212,24 @@ def _unmarked(found: list[tuple[_Node, str]]) -> list[tuple[_Node, str]]:
     return [x for x in found if not out(x[0])]
 
 
+def _titled(content: _Node, found: list[tuple[_Node, str]]) -> _Node:
+    """content, or if no title is in it, the smallest element around it, short of the body, that holds one."""
+    over: set[_Node] = set()
+    for node, _ in found:
+        if node.tag in ("h1", "h2"):
+            while node is not None:
+                over.add(node)
+                node = node.parent
+    node = content
+    while node is not None and node.parent is not None and node.tag not in ("html", "body"):
+        if node in over:
+            return node
+        node = node.parent
+    return content
+
+
 def main_text(html: str) -> str:
-    """The text of the content element of a page, a line per block."""
+    """The text of the content element of a page and of content paths outside it, a line per block."""
     found = _unmarked(blocks(html))
     if not found:
         return ""
@@ -220,16 +238,21 @@ def main_text(html: str) -> str:
     total = max(weight.values())
     inner = [n for n, w in weight.items() if w >= MOST * total]
     named = [n for n in inner if n.tag in ("article", "main")]
-    content = max(named or inner, key=lambda n: n.depth)
-    if not named and content.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "li", "td") and content.parent is not None:
-        content = content.parent
+    content = max([n for n in named if n.tag == "main"] or named or inner, key=lambda n: n.depth)
+    if not named:
+        if content.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "li", "td") and content.parent is not None:
+            content = content.parent
+        content = _titled(content, found)
     kept = []
-    for node, text in found:
+    for node, _ in found:
+        path = node.path
         while node is not None and node is not content:
             node = node.parent
-        if node is content:
-            kept.append(text)
-    return "\n".join(kept)
+        kept.append(node is content or path in paths)
+    # A heading goes with the block that it stands over.
+    for k in range(len(found) - 2, -1, -1):
+        kept[k] = kept[k] or (found[k][0].tag in HEADINGS and kept[k + 1])
+    return "\n".join(text for (_, text), x in zip(found, kept, strict=True) if x)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

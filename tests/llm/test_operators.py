@@ -323,6 +323,19 @@ def test_html_names_do_not_leave_out_a_page():
     assert html.main_text("<p>A <span class=search>term</span> that is said, <span class='box ad'>Buy!</span> and so on.") == "A term that is said, and so on."
 
 
+def test_html_keeps_content_outside_the_largest_element():
+    long = "A sentence of the body, with marks. And some more of it, which goes on. " * 4
+    intro = "The intro says what it is about, in two sentences. It is much shorter."
+    page = f"<ul class=x><li>Home<li>About</ul><div id=content><h1>Title</h1><p>{intro}</p><div class=body><p>{long}</p><p>{long}</p></div></div><footer>(c)</footer>"
+    assert html.main_text(page).split("\n")[-4:] == ["Title", intro, long.strip(), long.strip()]
+    page = f"<main><article><h2>One</h2><p>{long}</p><p>{long}</p></article><article><h2>Two</h2><p>{intro}</p></article></main>"
+    assert html.main_text(page).split("\n") == ["One", long.strip(), long.strip(), "Two", intro]
+    page = f"<div><h1>Title</h1><p>{intro}</p><section><p>{long}</p><p>{long}</p></section><ul><li>{intro}</ul></div>"
+    assert html.main_text(page).split("\n") == ["Title", intro, long.strip(), long.strip(), intro]
+    menu = "".join(f"<div class=m><a href=/{k}>Go {k}</a></div>" for k in range(30))
+    assert "Go 5" not in html.main_text(f"{menu}<section><h1>Title</h1><p>{intro}</p><p>{long}</p></section>")
+
+
 def test_html_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "<p>x")], "page_id long, html string")
     assert sorted(rows(html.extract(df), "page_id", "text")) == [(1, ""), (2, ""), (3, "x")]
