@@ -132,7 +132,7 @@ def adjacency(streets: DataFrame) -> DataFrame:
 
 
 def components(streets: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(coord_x, coord_y, component) by spreading the smallest block number until nothing changes."""
+    """(coord_x, coord_y, component) by spreading the smallest block number until nothing changes; an error if max_rounds are too few for that."""
     number = lambda x, y: F.col(x).cast("long") * (1 << 20) + F.col(y)
     edges = adjacency(streets).select(number("src_x", "src_y").alias("a"), number("dst_x", "dst_y").alias("b")).cache()
     labels = streets.select("coord_x", "coord_y", number("coord_x", "coord_y").alias("n")).withColumn("component", F.col("n"))
@@ -145,9 +145,9 @@ def components(streets: DataFrame, max_rounds: int = 1000) -> DataFrame:
         labels = labels.join(up, "component").select("coord_x", "coord_y", "n", F.col("c2").alias("component")).checkpoint()
         now = labels.agg(F.sum("component")).first()[0]
         if now == before:
-            break
+            return labels.select("coord_x", "coord_y", "component")
         before = now
-    return labels.select("coord_x", "coord_y", "component")
+    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def gravity(buildings: DataFrame, exponent: float = 2.0, n_hubs: int | None = None) -> DataFrame:

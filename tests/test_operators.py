@@ -191,6 +191,17 @@ def test_city_and_agents(spark):
     assert g.where("origin = dest and gravity <> 0").count() == 0 and math.isfinite(g.agg(F.sum("gravity")).first()[0])
 
 
+def test_components_settle_or_fail(spark):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    # Two rows of blocks, joined at the far end alone, and one block apart.
+    streets = spark.createDataFrame([(x, y) for x in range(12) for y in (0, 2)] + [(11, 1), (20, 20)], "coord_x int, coord_y int")
+    found = rows(city.components(streets), "coord_x", "component")
+    assert len(found) == 26 and len({c for x, c in found if x < 20}) == 1 and len({c for _, c in found}) == 2
+    with pytest.raises(RuntimeError):
+        city.components(streets, max_rounds=2)
+
+
 def test_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("u", 1704067200, 1.0, 2.0, "2024-01-01"), ("v", 1704153600, 3.0, 4.0, "2024-01-02")], "user_id string, timestamp long, x double, y double, date string")
     io.to_file(df, str(tmp_path / "p"), partition_by=["date"])
