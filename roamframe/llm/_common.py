@@ -56,7 +56,15 @@ def partitions(spark: SparkSession) -> int:
 
 def text_of(col: str = "text"):
     """A text column where null is the empty text."""
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -160,8 +160,11 @@ def leaves(text: str, split: Splitter, limit: int) -> Iterator[tuple[int, bool,
                 run += 1
 
 
-def _finish(consume):
-    """consume: what to keep of (ids, decoded) of a document, as a tuple of columns."""
+def _finish(outputs: str):
+    """What to keep of the ids of a document, as a tuple of columns; decoded only where that is asked for."""
+    if outputs == IDS:
+        return lambda code, ids: (len(ids) // 4, np.frombuffer(ids, "<i4"))
+    consume = digests if outputs == DIGESTS else contents
     return lambda code, ids: consume(ids, code.decode(ids).encode())
 
 
@@ -175,8 +178,10 @@ def contents(ids: bytes, decoded: bytes) -> tuple:
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 CONTENTS = "n_tokens long, ids array<int>, decoded string"
+IDS = "n_tokens long, ids array<int>"
 _TYPES = {
     DIGESTS: [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())],
+    IDS: [("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))],
     CONTENTS: [("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())],
 }
 
@@ -254,12 +259,12 @@ def _concatenate(path: str, keep, schema: str):
 def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: str = CONTENTS, long_chars: int = LONG_CHARS, leaf_chars: int = 1 << 14) -> DataFrame:
     """Encode and decode every text.
 
-    outputs: CONTENTS for n_tokens, ids and the decoded text; DIGESTS for n_tokens and SHA-256 of both.
+    outputs: CONTENTS for n_tokens, ids and the decoded text; IDS without the text; DIGESTS for n_tokens and SHA-256 of both.
     Texts over long_chars are cut into leaves of about leaf_chars that all tasks share, and put together again by row.
     path: a byte-level tokenizer file, readable on every executor.
     """
     bounded_batches(docs.sparkSession)
-    keep = _finish(digests if outputs == DIGESTS else contents)
+    keep = _finish(outputs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     is_long = F.length("text") > long_chars
     short = rows.where(~is_long).mapInArrow(_whole_texts(path, keep, outputs), f"id long, {outputs}")

@@ -1,15 +1,17 @@
 """Find benchmark passages in documents by winnowed fingerprints.
 
-Words are hashed, k of them make a gram, and of each sliding window of grams those of least hash are kept. A span of at
-least k + grams - 1 words that two texts share has the same grams in both, so a kept one in common: with k = 5 and windows of
-6 grams every shared span of 10 words is found. Fingerprints of documents are looked up among those of the benchmark; each
-hit is extended to both sides while words are equal, word by word, and counts if it covers a whole window
-of the item. Items of fewer words than a window are one window; their grams are as long as they are and all are kept.
-
-The benchmark is cut into blocks of a bounded size, and all documents meet each block in turn; results of blocks are
-united by document. So what an executor holds is bounded whatever the benchmark's size, and documents are not shuffled
-for it. Null texts have no words; items without words match nothing. Repeated items and ids count once by id, repeated rows of documents stay rows; null item ids are written as
-empty strings. Further columns are not read.
+Words are hashed, GRAM of them make a gram, and each window of WINDOW words is known by its gram of least hash, its fingerprint. Equal windows have
+equal fingerprints, so every shared span of at least a window has one in common. Fingerprints of documents are joined with those of the benchmark; a hit
+is extended to the windows that it stands for, and those are joined by a 128-bit hash of their words with the windows of the benchmark. An item of
+fewer words than a window is one window; its gram is as long as it is.
+
+Up to MAX_FILTER different fingerprints (counted first) go to the executors as sorted arrays and are looked up where the documents are read, so that
+only hits are shuffled; beyond that, the fingerprints of each text are shuffled and joined, and a text is read again with those that hit. Windows
+are joined one by one, by distinct text, so nothing is formed in pairs but a text and an item that share a window.
+
+The result follows from the text alone, and results are joined back by two hashes of it: rows need no key of their own. Null texts have no words;
+items without words match nothing. Repeated items and ids count once by id, repeated rows of documents stay rows; null item ids are written as empty
+strings. Empty tables give empty results or no hits. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_TABLE, Words, as_bytes, mix, slices, text_of
+from ._common import WORD_TABLE, Words, as_bytes, bounded_batches, materialize, mix, slices, text_of, unused
 
 WINDOW = 10
 GRAM = 5
-#: Benchmark text that one pass over the documents carries, in UTF-8 bytes.
-BLOCK_BYTES = 16 << 20
+#: Different fingerprints that are sent to every executor, eight bytes each.
+MAX_FILTER = 1 << 21
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -40,104 +43,140 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def winnow(g: np.ndarray, window: int) -> np.ndarray:
-    """Where a gram is the least of some window of grams that holds it; all equal least ones are kept."""
-    n = len(g) - window + 1
+def fingerprints(words: np.ndarray, size: int, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """By window of size words its gram of least hash; windows of fewer words than window are their own gram."""
+    if size < window or window <= gram:
+        return grams(words, size)
+    g = grams(words, gram)
+    n = len(words) - size + 1
     if n <= 0:
-        return np.flatnonzero(g == g.min()) if len(g) else np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     least = g[:n].copy()
-    for i in range(1, window):
+    for i in range(1, size - gram + 1):
         np.minimum(least, g[i : i + n], out=least)
-    keep = np.zeros(len(g), bool)
-    for i in range(window):
-        keep[i : i + n] |= g[i : i + n] == least
-    return np.flatnonzero(keep)
-
-
-class Index:
-    """The words and fingerprints of a block of items."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int, gram: int):
-        self.window, self.gram = window, gram
-        self.items = items
-        words = Words([x for _, x in items], WORD_TABLE)
-        self.words = [words.buffer[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True)]
-        self.first = words.first
-        self.of = np.repeat(np.arange(len(items)), words.counts)
-        h = words.hashes()
-        long: list[np.ndarray] = []
-        short: dict[int, list[int]] = {}
-        for i, (a, b) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)):
-            if b - a >= window:
-                long.append(a + winnow(grams(h[a:b], gram), window - gram + 1))
-            elif b > a:
-                short.setdefault(b - a, []).append(a)
-        #: By gram length: sorted hashes and the word each gram begins at.
-        self.tables = {}
-        if long:
-            at = np.concatenate(long)
-            self.tables[gram, False] = self._sorted(at, np.concatenate([grams(h, gram), np.zeros(gram, np.uint64)])[at])
-        for n, starts in short.items():
-            at = np.array(starts)
-            self.tables[n, True] = self._sorted(at, grams(h, n)[at])
-
-    @staticmethod
-    def _sorted(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")
-        return keys[order], at[order]
-
-    def hits(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
-        """Words of each text, and its hits: (first word, end word, item)."""
-        doc = Words(texts, WORD_TABLE)
-        h = doc.hashes()
-        own = np.repeat(np.arange(len(texts)), doc.counts)
-        found: list[set[tuple[int, int, int]]] = [set() for _ in texts]
-        for (n, short), (keys, places) in self.tables.items():
-            g = grams(h, n)
-            if not len(g):
-                continue
-            inside = own[: len(g)] == own[n - 1 :]
-            # Grams over the end of a text are of no text; winnowing all texts at once keeps more, never fewer.
-            if short:
-                at = np.flatnonzero(inside)
-            else:
-                g = np.where(inside, g, np.uint64(0xFFFFFFFFFFFFFFFF))
-                at = winnow(g, self.window - n + 1)
-                at = at[inside[at]]
-            low = np.searchsorted(keys, g[at])
-            hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == g[at])
-            # By diagonal (text word less item word) the end of the last span compared: what lies before it is known.
-            known: dict[int, int] = {}
-            for p, k in zip(at[hit].tolist(), low[hit].tolist(), strict=True):
-                d = int(own[p])
-                key = g[p]
-                while k < len(keys) and keys[k] == key:
-                    q = int(places[k])
-                    if known.get(p - q, -1) < p + n:
-                        known[p - q] = self._extend(doc, d, p, q, n, found[d])
-                    k += 1
-        return doc.counts, [sorted((a - int(doc.first[d]), b - int(doc.first[d]), i) for a, b, i in x) for d, x in enumerate(found)]
-
-    def _extend(self, doc: Words, d: int, p: int, q: int, n: int, found: set) -> int:
-        """Adds the span of equal words around a hit, if it holds a window; gives its end."""
-        item = int(self.of[q])
-        low, high = int(self.first[item]), int(self.first[item + 1])
-        start, end = int(doc.first[d]), int(doc.first[d + 1])
-        same = lambda x, y: doc.buffer[doc.starts[x] : doc.ends[x]] == self.words[y]
-        if not all(same(p + i, q + i) for i in range(n)):
-            return p
-        a, b = 0, n
-        while p - a > start and q - a > low and same(p - a - 1, q - a - 1):
-            a += 1
-        while p + b < end and q + b < high and same(p + b, q + b):
-            b += 1
-        if a + b >= min(self.window, high - low):
-            found.add((p - a, p + b, item))
-        return p + b
-
-
-_HITS = "id long, row long, n_words long, starts array<int>, ends array<int>, items array<string>"
-_ARROW = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+    return least
+
+
+def _digest(words: Words, at: int, size: int) -> bytes:
+    """The words of a window, a space between them, hashed."""
+    return xxhash.xxh3_128_digest(b" ".join([words.buffer[a:b] for a, b in zip(words.starts[at : at + size].tolist(), words.ends[at : at + size].tolist(), strict=True)]))
+
+
+_BENCH = "item string, size int, gram long, w binary"
+
+
+def _bench_windows(window: int, gram: int):
+    """The windows of each item: words, fingerprint, hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, raw in zip(batch["item"].to_pylist(), as_bytes(batch["text"]), strict=True):
+                words = Words([raw], WORD_TABLE)
+                size = min(window, int(words.counts[0]))
+                found = fingerprints(words.hashes(), size, window, gram) if size else np.empty(0, np.uint64)
+                n = len(found)
+                if n:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item] * n, pa.string()), pa.array([size] * n, pa.int32()), pa.array(found.view(np.int64)), pa.array([_digest(words, i, size) for i in range(n)], pa.binary())],
+                        names=["item", "size", "gram", "w"],
+                    )
+
+    return run
+
+
+_KEYS = "k1 long, k2 long"
+_FOUND = f"id long, {_KEYS}, n_words long, windows array<struct<at:int,size:int,w:binary>>"
+_WINDOWS = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("w", pa.binary())]))
+
+
+def _inside(words: Words, size: int) -> np.ndarray:
+    """Whether the window from each word on is in one text, and the text."""
+    own = np.repeat(np.arange(len(words.counts)), words.counts)
+    return own[: max(len(own) - size + 1, 0)] == own[size - 1 :]
+
+
+def _hits(words: Words, known: dict[int, np.ndarray], window: int, gram: int) -> list[list[dict]]:
+    """By text its windows whose fingerprint is among the known ones of their size (sorted arrays)."""
+    h = words.hashes()
+    out: list[list[dict]] = [[] for _ in words.counts]
+    for size, table in known.items():
+        if len(h) < size or not len(table):
+            continue
+        g = fingerprints(h, size, window, gram)
+        at = np.flatnonzero(table[np.minimum(np.searchsorted(table, g), len(table) - 1)] == g)
+        at = at[_inside(words, size)[at]]
+        text = np.searchsorted(words.first, at, side="right") - 1
+        for i, t in zip(at.tolist(), text.tolist(), strict=True):
+            out[t].append({"at": i - int(words.first[t]), "size": size, "w": _digest(words, i, size)})
+    return out
+
+
+def _look_up(known, window: int, gram: int):
+    """known: a broadcast of sorted fingerprints by window size; None where each row brings its own, as (size, gram) in a column of hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                texts = as_bytes(part["text"])
+                if known is not None:
+                    words = Words(texts, WORD_TABLE)
+                    counts, found = words.counts, _hits(words, known.value, window, gram)
+                else:
+                    counts, found = np.zeros(len(texts), np.int64), []
+                    for i, (raw, hits) in enumerate(zip(texts, part["hits"].to_pylist(), strict=True)):
+                        own: dict[int, list[int]] = {}
+                        for x in hits or []:
+                            own.setdefault(x["size"], []).append(x["gram"])
+                        words = Words([raw], WORD_TABLE)
+                        counts[i] = words.counts[0]
+                        found += _hits(words, {n: np.sort(np.array(x, np.int64).view(np.uint64)) for n, x in own.items()}, window, gram)
+                yield pa.RecordBatch.from_arrays([part["id"], part["k1"], part["k2"], pa.array(counts), pa.array(found, _WINDOWS)], names=["id", "k1", "k2", "n_words", "windows"])
+
+    return run
+
+
+def _prints(sizes: list[int], window: int, gram: int):
+    """The different fingerprints of each text, by window size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k1, k2, raw in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), as_bytes(batch["text"]), strict=True):
+                h = Words([raw], WORD_TABLE).hashes()
+                for size in sizes:
+                    g = np.unique(fingerprints(h, size, window, gram)) if len(h) >= size else []
+                    n = len(g)
+                    if n:
+                        yield pa.RecordBatch.from_arrays([pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array([size] * n, pa.int32()), pa.array(g.view(np.int64))], names=["k1", "k2", "size", "gram"])
+
+    return run
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, id_col: str | None, text_col: str, item_col: str, item_text_col: str, window: int, gram: int, max_filter: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written rows of docs with candidate windows, the windows of each distinct text that are the benchmark's, and the benchmark's windows."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), text_of(item_text_col).alias("text")).distinct()
+    bench = materialize(items.mapInArrow(_bench_windows(window, gram), _BENCH).distinct(), "benchmark-windows")
+    prints = bench.select("size", "gram").distinct()
+    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most window of them
+    own_id = F.lit(None).cast("long") if id_col is None else F.col(f"`{id_col}`").cast("long")
+    text = text_of(text_col)
+    rows = docs.select(own_id.alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text).alias("k2"), text.alias("text"))
+    if prints.count() <= max_filter:
+        table = prints.toPandas()
+        known = spark.sparkContext.broadcast({n: np.sort(table["gram"][table["size"] == n].to_numpy(np.int64).view(np.uint64)) for n in sizes})
+        found = rows.mapInArrow(_look_up(known, window, gram), _FOUND)
+    else:
+        dealt = rows.mapInArrow(_prints(sizes, window, gram), f"{_KEYS}, size int, gram long").distinct()
+        hits = materialize(dealt.join(prints, ["size", "gram"], "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("size", "gram")).alias("hits")), "benchmark-hits")
+        found = rows.join(hits, ["k1", "k2"], "left").select("id", "k1", "k2", "text", "hits").mapInArrow(_look_up(None, window, gram), _FOUND)
+    if id_col is None:
+        found = found.where(F.size("windows") > 0)
+    found = materialize(found, "benchmark-candidates")
+    # Copies of a text are one from here on.
+    by_text = found.where(F.size("windows") > 0).groupBy("k1", "k2").agg(F.first("windows").alias("windows"))
+    windows = by_text.select("k1", "k2", F.explode("windows").alias("x")).select("k1", "k2", "x.at", "x.size", "x.w")
+    return found, windows.join(bench.select("w").distinct(), "w", "left_semi"), bench
 
 
 def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -152,55 +191,31 @@ def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _find(block, window: int, gram: int):
-    """block: a broadcast list of (item id, text)."""
-    held: dict[int, Index] = {}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if 0 not in held:
-            held[0] = Index(block.value, window, gram)
-        index = held[0]
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                counts, hits = index.hits(as_bytes(part["text"]))
-                spans = [_merged([(a, b) for a, b, _ in x]) for x in hits]
-                items = [sorted({index.items[i][0] for *_, i in x}) for x in hits]
-                yield pa.RecordBatch.from_arrays([part["id"], part["row"], pa.array(counts), pa.array([x for x, _ in spans], pa.list_(pa.int32())), pa.array([x for _, x in spans], pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], schema=_ARROW)
-
-    return run
-
-
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch.to_pylist()
-        spans = [_merged([(a, b) for x in r["found"] for a, b in zip(x["starts"], x["ends"], strict=True)]) for r in rows]
-        items = [sorted({i for x in r["found"] for i in x["items"]}) for r in rows]
-        yield pa.RecordBatch.from_arrays([batch["id"], batch["row"], batch["n_words"], pa.array([x for x, _ in spans], pa.list_(pa.int32())), pa.array([x for _, x in spans], pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], schema=_ARROW)
-
+        spans = [_merged([(x["at"], x["at"] + x["size"]) for x in row]) for row in batch["spans"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["k1"], batch["k2"], pa.array([x for x, _ in spans], pa.list_(pa.int32())), pa.array([x for _, x in spans], pa.list_(pa.int32()))], names=["k1", "k2", "starts", "ends"])
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks, each brought to the driver alone; the last may be smaller, one item may be a block."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_of(text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-2 * total // block_bytes))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    for k in range(n):
-        block = items.where(part == k) if n > 1 else items
-        yield [(r["item"], r["text"].encode()) for r in block.distinct().collect()]
 
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, max_filter: int = MAX_FILTER
+) -> DataFrame:
     """Per row of docs: id, n_words, the merged hit spans in words (starts, ends) and the sorted ids of the items found."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    parts = [rows.mapInArrow(_find(spark.sparkContext.broadcast(b), window, gram), _HITS) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    out = parts[0]
-    if len(parts) > 1:
-        hits = parts[1]
-        for p in parts[2:]:
-            hits = hits.unionByName(p)
-        # Only rows that are hit by a later block are united with the first one's.
-        hits = hits.where(F.size("items") > 0)
-        both = out.unionByName(hits).groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.collect_list(F.struct("starts", "ends", "items")).alias("found"))
-        out = both.select("id", "row", "n_words", "found").mapInArrow(_unite, _HITS)
-    return out.drop("row").withColumnRenamed("id", id_col)
+    found, windows, bench = _matched(docs, benchmark, id_col, text_col, item_col, item_text_col, window, gram, max_filter)
+    windows = materialize(windows, "benchmark-found")
+    spans = windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "size")).alias("spans")).mapInArrow(_unite, f"{_KEYS}, starts array<int>, ends array<int>")
+    shared = windows.select("k1", "k2", "w").distinct().join(bench.select("w", "item").distinct(), "w").select("k1", "k2", "item").distinct()
+    items = shared.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    texts = materialize(spans.join(items, ["k1", "k2"]), "benchmark-texts")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    out = found.drop("windows").join(texts, ["k1", "k2"], "left")
+    return out.select(F.col("id").alias(id_col), "n_words", none("starts", "int"), none("ends", "int"), none("items", "string"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, max_filter: int = MAX_FILTER) -> DataFrame:
+    """The rows of docs whose text shares no window with an item, with all their columns."""
+    _, windows, _ = _matched(docs, benchmark, None, text_col, item_col, item_text_col, window, gram, max_filter)
+    a, b = unused(docs, "k1"), unused(docs, "k2")
+    bad = materialize(windows.select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "benchmark-bad")
+    text = text_of(text_col)
+    return docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit("k2"), text)}).join(bad, [a, b], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

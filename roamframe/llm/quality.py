@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a column of scores from 0 to 1; all columns are kept."""
+    """docs with a column of scores from 0 to 1, in the place of a column of that name if there is one; all other columns are kept."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(weights)

@@ -73,7 +73,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), shared=repeats.PASSAGE)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +84,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_simhash, op4_bpe, op5_chat, op6_decontamination, op7_quality, op8_language_model, op9_html_text, op10_repeats, pipeline)}
 
-#: None of these is within reach of SQL: tests compare them with brute force, libraries or held-out labels.
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: The others are out of reach of SQL: tests compare them with brute force, libraries or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') as w from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item, regexp_extract_all({_LOWER}, '{_WORDS}') as w from benchmark),
+bw as (
+    select distinct item, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as x
+    from (select item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0)
+),
+dw as (
+    select r, i, n, array_to_string(w[i:i + n - 1], ' ') as x
+    from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) where len(w) >= n)
+),
+hit as (select r, i, n, x from dw where x in (select x from bw)),
+words as (select r, count(distinct k) as n_hit from (select r, unnest(range(i, i + n)) as k from hit) group by r),
+items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, item from hit join bw using (x)) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (r) left join items using (r)""",
+}

@@ -11,6 +11,9 @@ in suffix order) gives their order, and the common prefix of two neighbours of e
 Only suffixes of one round can hold equal windows, so a round keeps its own order and common prefixes and no earlier ones; a suffix that has
 400 bytes in common with a neighbour begins a repeated string. Strings come from sorted shuffle files in sequence, a bounded number at a time.
 
+Two lengths can be asked for at once: windows of the lesser one are anchored, strings reach as far as windows of the greater one, and a round
+gives both, as a suffix has either length in common with a neighbour.
+
 An anchor with more than max_group strings is not sorted in one task: each of its windows is dealt by its 128-bit hash and counted, with the same result.
 
 Equal texts count as one that repeats as a whole. Null and empty texts have no bytes. Repeated rows are copies of each other; ids
@@ -31,9 +34,13 @@ from pyspark.sql import functions as F
 from ._common import as_bytes, bounded_batches, chunks, loads, materialize, mix, partitions, slices, text_of
 
 LENGTH = 400
+#: A passage of fifty words, at four bytes a word with its space.
+PASSAGE = 200
 GRAM = 32
 #: Strings of one anchor that are sorted in one task.
 MAX_GROUP = 20_000
+#: Anchors of so many strings that are sent to every executor, eight bytes each.
+MAX_LARGE = 1 << 20
 #: Strings that are sorted at once.
 BATCH = 16_384
 _NONE = 255  # a byte that UTF-8 never has
@@ -168,32 +175,35 @@ class Columns:
         self.common[rows] = new
 
 
-def repeated_starts(group: np.ndarray, strings: list[bytes], left: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """A row per string and a column per distance: whether the window that begins there, counted from length - GRAM bytes before the anchor, repeats.
+def repeated_starts(group: np.ndarray, strings: list[bytes], left: np.ndarray, lengths: tuple[int, ...] = (LENGTH,)) -> list[np.ndarray]:
+    """For each length a row per string and a column per distance: whether the window that begins there, counted from min(lengths) - GRAM bytes before the anchor, repeats.
 
     left: how many bytes of each string stand before its anchor.
     """
-    reach = length - GRAM
-    n, width = len(strings), reach + length
+    reach = min(lengths) - GRAM
+    n, width = len(strings), reach + max(lengths)
     text = np.full((n, width), _NONE, np.uint8)
     for i, (x, k) in enumerate(zip(strings, left.tolist(), strict=True)):
         text[i, reach - k : reach - k + len(x)] = np.frombuffer(x, np.uint8)
     columns = np.ascontiguousarray(text.T)
     del text
     state = Columns(group)
-    out = np.zeros((reach + 1, n), bool)
+    out = [np.zeros((reach + 1, n), bool) for _ in lengths]
     for c in range(width - 1, -1, -1):
         common = state.insert(columns[c])
         if c <= reach:
-            hit = common >= length
-            if hit.any():
-                hit[:-1] |= hit[1:]
-                out[c, state.order[hit]] = True
-    return out.T
+            for length, found in zip(lengths, out, strict=True):
+                hit = common >= length
+                if hit.any():
+                    hit[:-1] |= hit[1:]
+                    found[c, state.order[hit]] = True
+    return [found.T for found in out]
 
 
 _KEY = ("k1", "k2")
-_ANCHOR = "hash long, k1 long, k2 long, at int, first int, last int"
+#: place: the anchor's place, what lies between its first window and it, and between its first and last window, 12 bits each for the latter two.
+_ANCHOR = "hash long, k1 long, k2 long, place long"
+_BITS = 12
 
 
 def _anchors(length: int):
@@ -201,38 +211,41 @@ def _anchors(length: int):
         for table in chunks(batches, "text", 1 << 20):
             text, h, at, first, last = anchors(as_bytes(table["text"]), length)
             keys = [table[k].combine_chunks().take(pa.array(text)) for k in _KEY]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *keys, *(pa.array(x.astype(np.int32)) for x in (at, first, last))], names=["hash", "k1", "k2", "at", "first", "last"])
+            place = (at << 2 * _BITS) | (at - first << _BITS) | (last - first)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *keys, pa.array(place)], names=["hash", *_KEY, "place"])
 
     return run
 
 
-_STRING = "hash long, k1 long, k2 long, at int, left int, string binary, whole boolean"
+_STRING = "hash long, k1 long, k2 long, at int, left int, starts int, string binary, end int"
+_COVER = "k1 long, k2 long, a int, b int, length int"
+
 
+def _strings(lengths: tuple[int, ...]):
+    """The bytes that windows of the greatest length cover from the windows of each anchor on, as far as the text goes.
 
-def _strings(length: int):
-    """The bytes that the windows of each anchor cover. Of equal strings of one text, one, marked as repeated as a whole, goes on for all."""
+    Of equal strings of one text one goes on for all; end, null for others, says that their bytes up to there repeat as they are. Those that stay
+    behind have no string, and the text's own hash.
+    """
+    reach, low = max(lengths), (1 << _BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in enumerate(as_bytes(batch["text"])):
-                k1, k2 = batch["k1"][i].as_py(), batch["k2"][i].as_py()
+            for k1, k2, raw, found in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), as_bytes(batch["text"]), batch["anchors"].to_pylist(), strict=True):
                 seen: dict[tuple, list[tuple[int, int]]] = {}
-                for x in batch["anchors"][i].as_py():
-                    part = raw[x["first"] : x["last"] + length]
-                    seen.setdefault((x["hash"], x["at"] - x["first"], xxhash.xxh3_128_digest(part)), []).append((x["at"], x["first"], x["last"]))
-                rows = [(h, at, left, raw[first : last + length], len(same) > 1) for (h, left, _), same in seen.items() for at, first, last in same[:1]]
-                # The others of equal strings: their cover alone, without bytes to compare.
-                rows += [(None, at, left, None, True) for (_, left, _), same in seen.items() for at, first, last in same[1:]]
-                spans = {at: last + length for same in seen.values() for at, _, last in same}
+                for x in found:
+                    at, left, starts = x["place"] >> 2 * _BITS, x["place"] >> _BITS & low, (x["place"] & low) + 1
+                    part = raw[at - left : at - left + starts - 1 + reach]
+                    seen.setdefault((x["hash"], left, xxhash.xxh3_128_digest(part)), []).append((at, starts))
+                rows = []
+                for (h, left, _), same in seen.items():
+                    for i, (at, starts) in enumerate(same):
+                        end = min(at - left + starts - 1 + reach, len(raw))
+                        rows.append((k1 if i else h, at, left, starts, None if i else raw[at - left : end], end if len(same) > 1 else None))
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.int64()), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                        pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.bool_()),
-                        pa.array([spans[r[1]] for r in rows], pa.int32()),
-                    ],
-                    names=["hash", "k1", "k2", "at", "left", "string", "whole", "end"],
-                )
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+                h, at, left, starts, string, end = (pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds))
+                yield pa.RecordBatch.from_arrays([h, pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), at, left, starts, string, end], names=["hash", "k1", "k2", "at", "left", "starts", "string", "end"])
 
     return run
 
@@ -247,35 +260,34 @@ def _spans(starts: np.ndarray, shift: int, length: int) -> list[tuple[int, int]]
     return list(zip(a.tolist(), b.tolist(), strict=True))
 
 
-_COVER = "k1 long, k2 long, a int, b int"
-
+def _covers(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["k1", "k2", "a", "b", "length"])
 
-def _covers(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["k1", "k2", "a", "b"])
 
-
-def _compare(length: int):
+def _compare(lengths: tuple[int, ...]):
     """Rows come sorted by hash: whole groups are sorted together, BATCH strings or one group at a time."""
-    reach = length - GRAM
+    reach = min(lengths) - GRAM
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
+        # Strings that a text has twice are covered as they are, by windows of each length that fits into them.
+        out = [(r[1], r[2], r[3] - r[4], r[6], length) for r in rows if r[6] is not None for length in lengths if r[6] - r[3] + r[4] >= length]
+        rows = [r for r in rows if r[5] is not None]
         hashes = np.array([r[0] for r in rows], np.int64)
-        group = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]]))
-        single = np.bincount(group)[group] == 1
-        out = []
+        group = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]])) if rows else hashes
+        single = np.bincount(group)[group] == 1 if rows else group == 0
         many = [r for r, s in zip(rows, single, strict=True) if not s]
         if many:
-            starts = repeated_starts(group[~single], [r[5] for r in many], np.array([r[4] for r in many]), length)
-            for r, x in zip(many, starts, strict=True):
-                if not r[6]:
-                    out += [(r[1], r[2], a, b) for a, b in _spans(np.flatnonzero(x), r[3] - reach, length)]
+            for length, found in zip(lengths, repeated_starts(group[~single], [r[5] for r in many], np.array([r[4] for r in many]), lengths), strict=True):
+                for i in np.flatnonzero(found.any(axis=1)).tolist():
+                    if many[i][6] is None or many[i][6] - many[i][3] + many[i][4] < length:
+                        out += [(many[i][1], many[i][2], a, b, length) for a, b in _spans(np.flatnonzero(found[i]), many[i][3] - reach, length)]
         return _covers(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            held += zip(*(batch[c].to_pylist() for c in ("hash", "k1", "k2", "at", "left", "string", "whole")), strict=True)
+            held += zip(*(batch[c].to_pylist() for c in ("hash", "k1", "k2", "at", "left", "string", "end")), strict=True)
             while len(held) >= BATCH:
                 # Up to the last change of hash among the first BATCH rows, or the first one after.
                 cut = next((i for i in range(BATCH - 1, 0, -1) if held[i][0] != held[i - 1][0]), 0) or next((i for i in range(BATCH, len(held)) if held[i][0] != held[i - 1][0]), 0)
@@ -289,15 +301,24 @@ def _compare(length: int):
     return run
 
 
-def _windows(length: int):
-    """Each window of a string with its hash."""
+_WINDOW = "w1 long, w2 long, k1 long, k2 long, a int, length int"
+
+
+def _windows(lengths: tuple[int, ...]):
+    """Each window of a string, of each length, with its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, at, left, string, whole in zip(*(batch[c].to_pylist() for c in ("k1", "k2", "at", "left", "string", "whole")), strict=True):
-                n = len(string) - length + 1
-                raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(string[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(range(at - left, at - left + n), pa.int32()), pa.array([whole] * n)], names=["w1", "w2", "k1", "k2", "a", "whole"])
+            for k1, k2, at, left, starts, string in zip(*(batch[c].to_pylist() for c in ("k1", "k2", "at", "left", "starts", "string")), strict=True):
+                for length in lengths:
+                    n = min(starts, len(string) - length + 1)
+                    if n > 0:
+                        raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(string[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
+                        begin = pa.array(np.arange(at - left, at - left + n, dtype=np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), begin, pa.array([length] * n, pa.int32())],
+                            names=["w1", "w2", "k1", "k2", "a", "length"],
+                        )
 
     return run
 
@@ -312,27 +333,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_CUT = "k1 long, k2 long, n_removed long, n_spans long, cut_sha256 string, remains string"
+_CUT = "k1 long, k2 long, n_removed long, n_spans long, n_shared long, cut_sha256 string, remains string"
 
 
-def _cut(texts: bool):
-    """What remains of each text: its digest and, with texts, its whole characters."""
+def _cut(length: int, texts: bool):
+    """What remains of each text without windows of length: its digest and, with texts, its whole characters. n_shared counts bytes in windows of any length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                n_removed, n_spans, digest, remains = [], [], [], []
+                rows = []
                 for raw, spans in zip(as_bytes(part["text"]), part["spans"].to_pylist(), strict=True):
-                    whole = merged([(x["a"], x["b"]) for x in spans])
+                    whole = merged([(x["a"], x["b"]) for x in spans if x["length"] == length])
                     kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in whole)], [*(a for a, _ in whole), len(raw)], strict=True))
-                    n_removed.append(sum(b - a for a, b in whole))
-                    n_spans.append(len(whole))
-                    digest.append(hashlib.sha256(kept).hexdigest())
-                    remains.append(kept.decode("utf-8", "ignore") if texts else None)
-                yield pa.RecordBatch.from_arrays(
-                    [part["k1"], part["k2"], pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(remains, pa.string())],
-                    names=["k1", "k2", "n_removed", "n_spans", "cut_sha256", "remains"],
-                )
+                    shared = sum(b - a for a, b in merged([(x["a"], x["b"]) for x in spans]))
+                    rows.append((sum(b - a for a, b in whole), len(whole), shared, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part["k1"], part["k2"], *columns], names=["k1", "k2", "n_removed", "n_spans", "n_shared", "cut_sha256", "remains"])
 
     return run
 
@@ -343,65 +361,84 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"__text": text, "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("k2"), text)})
 
 
-def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, max_group: int = MAX_GROUP, texts: bool = False) -> DataFrame:
-    """By distinct text that has repeated strings: k1, k2, n_removed, n_spans, cut_sha256 (of the remaining bytes) and, with texts, remains."""
+def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, max_group: int = MAX_GROUP, texts: bool = False, shared: int | None = None) -> DataFrame:
+    """By distinct text that has repeated strings: k1, k2, n_removed, n_spans, n_shared, cut_sha256 (of the remaining bytes) and, with texts, remains."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    bodies = _keyed(docs.select(text_col), text_col).select("k1", "k2", F.col("__text").alias("text")).where(F.octet_length("text") >= length)
-    found = bodies.mapInArrow(_anchors(length), _ANCHOR)
-    repeated = materialize(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "repeats-hashes")
-    large = repeated.where(F.col("n") > max_group)
-    has_large = not large.isEmpty()
-    own = found.join(repeated.select("hash"), "hash").distinct()
-    by_text = own.groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "at", "first", "last")).alias("anchors"))
+    lengths = (length,) if shared is None or shared == length else (length, shared)
+    least = min(lengths)
+    if least > 1 << _BITS:
+        raise ValueError(f"strings of at most {1 << _BITS} bytes are anchored")
+    bodies = _keyed(docs.select(text_col), text_col).select("k1", "k2", F.col("__text").alias("text")).where(F.octet_length("text") >= least)
+    found = bodies.mapInArrow(_anchors(least), _ANCHOR)
+    # Copies of a text have their anchors at the same places, and do not make a hash one to look at.
+    spot = F.xxhash64("k1", "place")
+    repeated = materialize(found.groupBy("hash").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("hash"), "repeats-hashes")
+    by_text = found.join(repeated, "hash").groupBy("k1", "k2").agg(F.collect_set(F.struct("hash", "place")).alias("anchors"))
     # Copies of a text are one from here on.
     one = bodies.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     candidates = materialize(one.join(by_text, ["k1", "k2"]), "repeats-texts")
-    strings = candidates.mapInArrow(_strings(length), f"{_STRING}, end int")
-    # Strings that a text has twice are covered as they are.
-    covers = strings.where("whole").select("k1", "k2", (F.col("at") - F.col("left")).alias("a"), F.col("end").alias("b"))
-    strings = strings.where("hash is not null").drop("end")
-    sorted_by_hash = strings.join(large.select("hash"), "hash", "left_anti") if has_large else strings
-    lined = sorted_by_hash.repartition(partitions(spark), "hash").sortWithinPartitions("hash")
-    covers = covers.unionByName(lined.mapInArrow(_compare(length), _COVER))
-    if has_large:
-        windows = strings.join(large.select("hash"), "hash", "left_semi").mapInArrow(_windows(length), "w1 long, w2 long, k1 long, k2 long, a int, whole boolean")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        hits = windows.where("not whole").join(twice, ["w1", "w2"])
-        covers = covers.unionByName(hits.select("k1", "k2", "a", (F.col("a") + length).alias("b")))
-    spans = covers.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return candidates.select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_cut(texts), _CUT)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, max_group: int = MAX_GROUP, texts: bool = False) -> DataFrame:
+    hashes = candidates.select("k1", "k2", F.explode("anchors.hash").alias("hash"))
+    large = materialize(hashes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > max_group).select("hash"), "repeats-large")
+    n_large = large.count()
+    strings = candidates.mapInArrow(_strings(lengths), _STRING)
+    if n_large:
+        # Few by nature: each has over max_group strings. A list of unusual length is joined by shuffle.
+        large = F.broadcast(large) if n_large <= MAX_LARGE else large
+        owners = materialize(hashes.join(large, "hash", "left_semi").select("k1", "k2").distinct(), "repeats-owners")
+        windows = candidates.join(owners, ["k1", "k2"], "left_semi").mapInArrow(_strings(lengths), _STRING).where("string is not null").join(large, "hash", "left_semi").mapInArrow(_windows(lengths), _WINDOW)
+        # Written, so that the join with it has a plain shuffle on both sides and a very common window can be split.
+        twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "repeats-windows")
+        hits = windows.join(twice, ["w1", "w2"])
+        counted = hits.select("k1", "k2", "a", (F.col("a") + F.col("length")).alias("b"), "length")
+        # What a text has twice still comes with its strings.
+        strings = strings.join(large.withColumn("large", F.lit(True)), "hash", "left").where("large is null or end is not null")
+        strings = strings.withColumns({"string": F.when(F.col("large").isNull(), F.col("string")), "hash": F.when(F.col("large").isNull(), F.col("hash")).otherwise(F.col("k1"))}).drop("large")
+    lined = strings.repartition(partitions(spark), "hash").sortWithinPartitions("hash")
+    covers = lined.mapInArrow(_compare(lengths), _COVER)
+    if n_large:
+        covers = covers.unionByName(counted)
+    spans = covers.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "length")).alias("spans"))
+    return candidates.select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_cut(length, texts), _CUT)
+
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, max_group: int = MAX_GROUP, texts: bool = False, shared: int | None = None
+) -> DataFrame:
     """Remove each byte covered by a string of length bytes that also begins anywhere else.
 
-    Per row its id, n_bytes, n_removed, n_spans and kept_sha256; with texts, docs itself with the remaining text, characters that lost a byte
-    left out, and those of these columns whose names docs does not have.
+    Per row its id, n_bytes, n_removed, n_spans and kept_sha256; with shared, n_shared too: the bytes covered by strings of shared bytes (at most
+    length) that also begin anywhere else. With texts, docs itself with the remaining text, characters that lost a byte left out, and those of these
+    columns whose names docs does not have.
     """
     names = docs.columns if texts else [id_col]
     text = text_of(text_col)
+    least = min(length, shared or length)
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text).alias("k2"),
         F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own_sha256"),
     )
-    copied = _keyed(docs.select(text_col), text_col).where(F.octet_length("__text") >= length).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(True).alias("copied"))
-    cut = removals(docs, text_col, length, max_group, texts)
+    copied = _keyed(docs.select(text_col), text_col).where(F.octet_length("__text") >= least).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(True).alias("copied"))
+    cut = removals(docs, text_col, length, max_group, texts, shared)
     # One written table of what befalls a text: the join with it has a plain shuffle on both sides, so that a text with very many copies can be split.
     found = cut.join(copied, ["k1", "k2"], "full")
     found = found.withColumn("remains", F.when(F.col("copied").isNull(), F.col("remains")))
     rows = rows.join(materialize(found, "repeats-found"), ["k1", "k2"], "left")
-    copied_ = F.coalesce("copied", F.lit(False))
+    zero = F.lit(0).cast("long")
+    shares = F.coalesce("copied", F.lit(False))
+    gone = shares & (F.col("n_bytes") >= length)
     out = rows.withColumns(
         {
-            "n_removed": F.when(copied_, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))),
-            "n_spans": F.when(copied_, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))),
-            "kept_sha256": F.when(copied_, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha256", "own_sha256")),
+            "n_removed": F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)),
+            "n_spans": F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)),
+            "kept_sha256": F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha256", "own_sha256")),
+            "n_shared": F.when(shares, F.col("n_bytes")).otherwise(F.coalesce("n_shared", zero)),
         }
     )
-    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_shared"] * (shared is not None)
     if not texts:
         return out.select("row.*", *own)
 
-    left = F.when(copied_, F.lit("")).otherwise(F.coalesce("remains", F.col("row").getField(text_col)))
+    # A copy that is too short to go kept no remains of its own above: it stays as it is.
+    left = F.when(gone, F.lit("")).otherwise(F.coalesce("remains", F.col("row").getField(text_col)))
     return out.select(*(left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), *(c for c in own if c not in names))

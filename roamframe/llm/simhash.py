@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE_TABLE, Words, as_bytes, loads, materialize, partitions, slices, text_of
+from ._common import WHITE_TABLE, Words, as_bytes, loads, materialize, partitions, slices, text_of, unused
 from .graph import components
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -274,4 +274,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = rows.join(classes, "bits").where(F.col("id").eqNullSafe(F.col("component_id")))
     keep = first.groupBy("root").agg(F.min("key").alias("__key")).select("__key")
     # Rows of one key are copies of one text under one id.
-    return docs.withColumn("__key", key).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    own = unused(docs, "key")
+    return docs.withColumn(own, key).join(keep.withColumnRenamed("__key", own), own, "left_semi").dropDuplicates([own]).select(*(F.col(f"`{c}`") for c in docs.columns))

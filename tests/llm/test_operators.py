@@ -243,8 +243,8 @@ def hits(doc, items, w=10):
     return len(d), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 2000])
-def test_contamination(spark, block_bytes):
+@pytest.mark.parametrize("max_filter", [decontaminate.MAX_FILTER, 20])
+def test_contamination(spark, max_filter):
     rng = random.Random(8)
     word = lambda: rng.choice(["a", "b", "The", "é", "x1"])
     items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 3, 7, 9, 10, 11, 25])))) for i in range(40)] + [(40, None), (3, "the, A. b"), (41, "long " * 30)]
@@ -254,10 +254,13 @@ def test_contamination(spark, block_bytes):
         docs.append(rng.choice([" ", ", "]).join([parts[0], rng.choice(items)[1] or "", parts[1], rng.choice(items)[1] or "", parts[2]]))
     docs += ODD
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(frame(spark, docs), bench, block_bytes=block_bytes)
+    got = decontaminate.contamination(frame(spark, docs), bench, max_filter=max_filter)
     found = {r.doc_id: (r.n_words, sum(b - a for a, b in zip(r.starts, r.ends, strict=True)), list(r["items"])) for r in got.collect()}
     assert found == {i: hits(x, items) for i, x in enumerate(docs)}
+    clean = decontaminate.clean(frame(spark, docs), bench, max_filter=max_filter)
+    assert {r.doc_id for r in clean.collect()} == {i for i, x in found.items() if not x[2]} and clean.columns == frame(spark, docs).columns
     assert decontaminate.contamination(frame(spark, docs), bench.limit(0)).where("size(items) > 0").count() == 0
+    assert decontaminate.contamination(frame(spark, docs).limit(0), bench).count() == 0
 
 
 def test_quality_on_held_out_labels(spark, sf):
@@ -368,8 +371,13 @@ def test_repeats(spark, max_group):
             x = x[:k] + rng.choice(passages) + x[k:]
         docs.append(rng.choice(["", "ab" * 30, "hello world " * 9]) + x if rng.random() < 0.2 else x)
     docs += [None, "", "a" * 200]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(frame(spark, docs), length=40, max_group=max_group).collect()}
-    assert [got[i] for i in range(len(docs))] == brute_repeats([(x or "").encode() for x in docs], 40)
+    raw = [(x or "").encode() for x in docs]
+    for length, shared in ((40, None), (400, None), (60, 40), (400, 41)):
+        got = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, docs), length=length, max_group=max_group, shared=shared).collect()}
+        found = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (got[i] for i in range(len(docs)))]
+        assert found == brute_repeats(raw, length)
+        if shared:
+            assert [got[i].n_shared for i in range(len(docs))] == [x[1] for x in brute_repeats(raw, shared)]
     kept = repeats.remove_repeats(frame(spark, docs), length=40, max_group=max_group, texts=True)
     assert kept.columns[:8] == frame(spark, docs).columns and kept.count() == len(docs)
     assert repeats.remove_repeats(frame(spark, docs).limit(0)).count() == 0
