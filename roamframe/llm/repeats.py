@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, bounded_batches, chunks, loads, materialize, mix, partitions, slices, text_of
+from ._common import as_bytes, bounded_batches, chunks, materialize, mix, partitions, slices, text_of
 
 LENGTH = 400
 #: A passage of fifty words, at four bytes a word with its space.
@@ -50,16 +50,12 @@ _SCALES = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x1656
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
     """The hash of the 32 bytes from each of the first n places."""
-    out = np.empty(n, np.uint64)
-    for a in range(0, n, 1 << 16):
-        b = min(n, a + (1 << 16))
-        words = loads(data, np.arange(a, b + 24))
-        h = words[: b - a] * _SCALES[0]
-        for i in range(1, 4):
-            h += words[8 * i : 8 * i + b - a] * _SCALES[i]
-            h ^= h >> np.uint64(29)
-        out[a:b] = mix(h)
-    return out
+    words = np.ndarray((n + 24,), np.dtype("<u8"), data, strides=(1,)).copy()
+    h = words[:n] * _SCALES[0]
+    for i in range(1, 4):
+        h += words[8 * i : 8 * i + n] * _SCALES[i]
+        h ^= h >> np.uint64(29)
+    return mix(h)
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -82,24 +78,30 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     joined = b"".join(texts)
     found: list[list[np.ndarray]] = []
     data = np.frombuffer(joined + b"\0" * 64, np.uint8)
-    step = 1 << 22
-    for begin in range(0, max(len(joined) - length + 1, 0), step):
-        # Windows that begin here, and all their grams.
-        n = min(step, len(joined) - length + 1 - begin)
-        h = gram_hashes(data[begin:], n + w - 1)
-        place = np.arange(len(h), dtype=np.uint64)
-        best = _window_min((h & ~_LOW) | (_LOW - place), w)
-        at = (_LOW - (best & _LOW)).astype(np.int64)
-        text = np.searchsorted(offsets, np.arange(begin, begin + n), side="right") - 1
-        inside = np.arange(begin, begin + n) + length <= offsets[text + 1]
-        starts = np.flatnonzero(inside)
+    total = max(len(joined) - length + 1, 0)
+    inside = np.ones(total, bool)
+    for end in offsets[1:-1].tolist():
+        inside[max(end - length + 1, 0) : end] = False
+    step, block = 1 << 22, 1 << 16
+    for begin in range(0, total, step):
+        n = min(step, total - begin)
+        starts = np.flatnonzero(inside[begin : begin + n])
         if not len(starts):
             continue
-        at, text = at[starts], text[starts]
-        edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
+        # Windows that begin here, and all their grams, as much at a time as stays in the cache. A least gram tells its place.
+        h, best = np.empty(n + w - 1, np.uint64), np.empty(n, np.uint64)
+        for a in range(0, n, block):
+            b = min(n, a + block)
+            own = gram_hashes(data[begin + a :], b - a + w - 1)
+            h[a : b + w - 1] = own
+            best[a:b] = _window_min((own & ~_LOW) | (_LOW - np.arange(a, b + w - 1, dtype=np.uint64)), w)
+        best = best[starts]
+        edge = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
         last = np.concatenate([edge[1:], [len(starts)]]) - 1
-        base = offsets[text[edge]] - begin
-        found.append([text[edge], h[at[edge]], at[edge] - base, starts[edge] - base, starts[last] - base])
+        at = (_LOW - (best[edge] & _LOW)).astype(np.int64)
+        text = np.searchsorted(offsets, at + begin, side="right") - 1
+        base = offsets[text] - begin
+        found.append([text, h[at], at - base, starts[edge] - base, starts[last] - base])
     if not found:
         empty = np.empty(0, np.int64)
         return empty, empty.astype(np.uint64), empty, empty, empty
@@ -250,19 +252,13 @@ def _strings(lengths: tuple[int, ...]):
     return run
 
 
-def _spans(starts: np.ndarray, shift: int, length: int) -> list[tuple[int, int]]:
-    """Ascending window starts as merged spans of bytes."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length)
-    a = starts[np.concatenate([[0], cut + 1])] + shift
-    b = starts[np.concatenate([cut, [len(starts) - 1]])] + shift + length
-    return list(zip(a.tolist(), b.tolist(), strict=True))
-
-
-def _covers(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["k1", "k2", "a", "b", "length"])
+def _spans(found: np.ndarray, shift: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the merged spans of bytes of each row's window starts; found has a row per string, shift is the place of its first column."""
+    row, start = np.nonzero(found)
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] - start[:-1] > length)])) if len(row) else row
+    last = np.concatenate([new[1:], [len(row)]])[: len(new)] - 1
+    row = row[new]
+    return row, start[new] + shift[row], start[last] + shift[row] + length
 
 
 def _compare(lengths: tuple[int, ...]):
@@ -270,19 +266,22 @@ def _compare(lengths: tuple[int, ...]):
     reach = min(lengths) - GRAM
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
+        hashes, k1, k2, at, left = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:5])
+        begin = at - left
+        end = np.array([-1 if r[6] is None else r[6] for r in rows], np.int64)
         # Strings that a text has twice are covered as they are, by windows of each length that fits into them.
-        out = [(r[1], r[2], r[3] - r[4], r[6], length) for r in rows if r[6] is not None for length in lengths if r[6] - r[3] + r[4] >= length]
-        rows = [r for r in rows if r[5] is not None]
-        hashes = np.array([r[0] for r in rows], np.int64)
-        group = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]])) if rows else hashes
-        single = np.bincount(group)[group] == 1 if rows else group == 0
-        many = [r for r, s in zip(rows, single, strict=True) if not s]
-        if many:
-            for length, found in zip(lengths, repeated_starts(group[~single], [r[5] for r in many], np.array([r[4] for r in many]), lengths), strict=True):
-                for i in np.flatnonzero(found.any(axis=1)).tolist():
-                    if many[i][6] is None or many[i][6] - many[i][3] + many[i][4] < length:
-                        out += [(many[i][1], many[i][2], a, b, length) for a, b in _spans(np.flatnonzero(found[i]), many[i][3] - reach, length)]
-        return _covers(out)
+        whole = [np.flatnonzero(end - begin >= n) for n in lengths]
+        out = [(k1[i], k2[i], begin[i], end[i], np.full(len(i), n)) for i, n in zip(whole, lengths, strict=True)]
+        own = np.flatnonzero([r[5] is not None for r in rows])
+        group = np.cumsum(np.concatenate([[0], hashes[own][1:] != hashes[own][:-1]])) if len(own) else own
+        many = np.bincount(group)[group] > 1 if len(own) else own == 0
+        own, group = own[many], group[many]
+        if len(own):
+            for n, found in zip(lengths, repeated_starts(group, [rows[i][5] for i in own.tolist()], left[own], lengths), strict=True):
+                row, a, b = _spans(found & ~(end[own] - begin[own] >= n)[:, None], at[own] - reach, n)
+                out.append((k1[own][row], k2[own][row], a, b, np.full(len(row), n)))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "a", "b", "length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
