@@ -2,15 +2,15 @@
 
 A page's text is cut into blocks at block-level tags; a block's tag path leads from the root to the element that holds it. By
 path, text length and punctuation are aggregated over its blocks; both ratios (per block) are smoothed over the
-blocks in page order, fused as a product, and paths whose smoothed mean reaches a share of the page's spread are content paths. The
-content element is the smallest one that holds most of the text on content paths: a main or article element if there is one, else with the
-title that stands over it. The text, in order, is all its blocks, the blocks on content paths elsewhere, and the headings over any of them. Left
-out are blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments of readers. Such elements are known by tag, role or a
-whole name of class or id; html, body, main and article are never left out by name, nor is an element with over half of the page's text on
-content paths. Elements with other names are judged by path alone.
+blocks in page order and fused as a product. Blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments of readers are known by
+tag, role or a whole name of class or id, and have paths of their own, whose ratio counts by a twentieth, or by a fiftieth where the tag says so: what
+names mean is weighed, not cut out beforehand, and a class or id around over half of the page's text, by ratio, means nothing. Paths whose ratio reaches a share of the page's spread are content
+paths, and these alone decide where the content is: the content element is the smallest one that holds most of the text on content paths, if need be with
+the title that stands over it. The text, in order, is the blocks on content paths anywhere, all other blocks of the content element that no such name
+holds, and the headings over any of them.
 
 Null and empty pages have an empty text, as have pages without text. Broken and cut-off markup is read as far as it goes: an unfinished tag at
-the end is dropped. Whole pages are read. Repeated rows stay rows; further columns are kept.
+the end is dropped. Whole pages are read. Repeated rows stay rows; further columns are kept, but for one named like the result, which it replaces.
 """
 
 from __future__ import annotations
@@ -36,14 +36,16 @@ CLOSES = {
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 SCOPE = frozenset("html body article main section div table td th ul ol dl blockquote nav aside header footer form".split())
-LEFT_OUT = frozenset("head nav header footer aside form button dialog menu figure-caption fieldset datalist".split())
+NO_CONTENT = frozenset("head nav header footer aside button menu datalist".split())
+#: These say as much as a name does: some pages have all their content in a form.
+MAY_WRAP = frozenset("form dialog fieldset".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer"
     " cookie cookies consent notice notices alert popup modal overlay comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe signup login search pager pagination skip copyright".split()
 )
 #: An inline element marked with one of these is no part of its sentence.
 ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo".split())
-#: Never left out, whatever their names.
+#: Their names of class and id mean nothing.
 WHOLE = frozenset("html body main article".split())
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -54,6 +56,10 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 SHARE = 0.5
 #: The content element holds at least this share of the text on content paths.
 MOST = 0.7
+#: What the ratio of a block counts: in no such element, in one known by name, in one known by tag.
+PRIOR = (1.0, 0.05, 0.02)
+#: Elements that are parts of a text: the content element is the next one around them.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd ul ol dl td th tr thead tbody table figure figcaption center font span".split())
 
 
 def _marked(attributes: str, marks: frozenset[str] = MARKS) -> bool:
@@ -68,7 +74,7 @@ def _marked(attributes: str, marks: frozenset[str] = MARKS) -> bool:
 class _Node:
     __slots__ = ("tag", "parent", "depth", "marked", "path")
 
-    def __init__(self, tag: str, parent: _Node | None, marked: bool):
+    def __init__(self, tag: str, parent: _Node | None, marked: int):
         self.tag, self.parent, self.marked = tag, parent, marked
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}" if parent else tag
@@ -76,7 +82,7 @@ class _Node:
 
 def blocks(html: str) -> list[tuple[_Node, str]]:
     """(element, text) of each block with text, in page order; inline elements and references are resolved."""
-    root = _Node("", None, False)
+    root = _Node("", None, 0)
     at, held, found = root, [], []
 
     def flush() -> None:
@@ -145,7 +151,7 @@ def blocks(html: str) -> list[tuple[_Node, str]]:
             if node.tag in SCOPE and node.tag not in ends:
                 break
             node = node.parent
-        at = _Node(tag, at, tag in LEFT_OUT or tag not in WHOLE and _marked(attributes))
+        at = _Node(tag, at, 2 if tag in NO_CONTENT else int(tag in MAY_WRAP or (tag not in WHOLE and _marked(attributes))))
         if attributes.rstrip().endswith("/") and tag not in SCOPE and tag != "p":
             at = at.parent
     flush()
@@ -162,54 +168,66 @@ def _smoothed(x: list[float]) -> list[float]:
     return out
 
 
-def content_paths(found: list[tuple[_Node, str]]) -> set[str]:
-    """The paths whose smoothed, fused ratio reaches the threshold."""
-    length: dict[str, int] = defaultdict(int)
-    marks: dict[str, int] = defaultdict(int)
-    count: dict[str, int] = defaultdict(int)
-    for node, text in found:
-        length[node.path] += len(text)
-        marks[node.path] += len(_PUNCTUATION.findall(text))
-        count[node.path] += 1
-    by_length = _smoothed([length[n.path] / count[n.path] for n, _ in found])
-    by_marks = _smoothed([marks[n.path] / count[n.path] for n, _ in found])
-    fused = [a * (1 + b) for a, b in zip(by_length, by_marks, strict=True)]
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    sums: dict[str, float] = defaultdict(float)
-    for (node, _), x in zip(found, fused, strict=True):
-        sums[node.path] += x
-    best = max(sums, key=lambda p: sums[p] / count[p])
-    return {p for p in sums if sums[p] / count[p] >= SHARE * spread} | {best}
-
-
-def _weights(found: list[tuple[_Node, str]], paths: set[str]) -> dict[_Node, int]:
+#: A block's tag path, and whether it is in an element known as no content by name (1) or tag (2).
+Path = tuple[str, int]
+
+
+def ratios(found: list[tuple[_Node, str]], paths: list[Path]) -> dict[Path, float]:
+    """By path the mean of its blocks' smoothed and fused ratios of text length and punctuation, weighed by PRIOR."""
+    length: dict[Path, int] = defaultdict(int)
+    marks: dict[Path, int] = defaultdict(int)
+    count: dict[Path, int] = defaultdict(int)
+    for p, (_, text) in zip(paths, found, strict=True):
+        length[p] += len(text)
+        marks[p] += len(_PUNCTUATION.findall(text))
+        count[p] += 1
+    by_length = _smoothed([length[p] / count[p] for p in paths])
+    by_marks = _smoothed([marks[p] / count[p] for p in paths])
+    sums: dict[Path, float] = defaultdict(float)
+    for p, a, b in zip(paths, by_length, by_marks, strict=True):
+        sums[p] += a * (1 + b) * PRIOR[p[1]]
+    return {p: sums[p] / count[p] for p in sums}
+
+
+def content_paths(found: list[tuple[_Node, str]], paths: list[Path]) -> set[Path]:
+    """The paths whose ratio reaches SHARE of the standard deviation over all blocks, and the best one."""
+    ratio = ratios(found, paths)
+    of = [ratio[p] for p in paths]
+    mean = sum(of) / len(of)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in of) / len(of))
+    return {p for p, x in ratio.items() if x >= SHARE * spread} | {max(ratio, key=lambda p: ratio[p])}
+
+
+def _weights(found: list[tuple[_Node, str]], paths: list[Path], content: set[Path]) -> dict[_Node, int]:
     """By element the length of its text on content paths."""
     weight: dict[_Node, int] = defaultdict(int)
-    for node, text in found:
-        if node.path in paths:
+    for (node, text), p in zip(found, paths, strict=True):
+        if p in content:
             while node is not None:
                 weight[node] += len(text)
                 node = node.parent
     return weight
 
 
-def _unmarked(found: list[tuple[_Node, str]]) -> list[tuple[_Node, str]]:
-    """The blocks in no marked element; an element with over half of the page's text on content paths counts as not marked."""
+def _paths(found: list[tuple[_Node, str]]) -> list[Path]:
+    """The path of each block. An element that holds over half of the page's text, by ratios without regard to names, is content whatever its class or id."""
     weight = None
 
-    def out(node: _Node | None) -> bool:
+    def named(node: _Node | None) -> int:
         nonlocal weight
-        while node is not None:
-            if node.marked:
+        found_ = 0
+        while node is not None and found_ < 2:
+            if node.marked == 2:
+                found_ = 2
+            elif node.marked and not found_:
                 if weight is None:
-                    weight = _weights(found, content_paths(found))
-                if 2 * weight[node] <= max(weight.values()):
-                    return True
+                    plain = [(n.path, 0) for n, _ in found]
+                    weight = _weights(found, plain, content_paths(found, plain))
+                found_ = int(2 * weight[node] <= max(weight.values()))
             node = node.parent
-        return False
+        return found_
 
-    return [x for x in found if not out(x[0])]
+    return [(node.path, named(node)) for node, _ in found]
 
 
 def _titled(content: _Node, found: list[tuple[_Node, str]]) -> _Node:
@@ -229,29 +247,25 @@ def _titled(content: _Node, found: list[tuple[_Node, str]]) -> _Node:
 
 
 def main_text(html: str) -> str:
-    """The text of the content element of a page and of content paths outside it, a line per block."""
-    found = _unmarked(blocks(html))
+    """The text of a page's content, a line per block."""
+    found = blocks(html)
     if not found:
         return ""
-    paths = content_paths(found)
-    weight = _weights(found, paths)
-    total = max(weight.values())
-    inner = [n for n, w in weight.items() if w >= MOST * total]
-    named = [n for n in inner if n.tag in ("article", "main")]
-    content = max([n for n in named if n.tag == "main"] or named or inner, key=lambda n: n.depth)
-    if not named:
-        if content.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "li", "td") and content.parent is not None:
-            content = content.parent
-        content = _titled(content, found)
+    paths = _paths(found)
+    content = content_paths(found, paths)
+    weight = _weights(found, paths, content)
+    element = max([n for n, w in weight.items() if w >= MOST * max(weight.values())], key=lambda n: n.depth)
+    while element.tag in PARTS and element.parent is not None:
+        element = element.parent
+    element = _titled(element, found)
     kept = []
-    for node, _ in found:
-        path = node.path
-        while node is not None and node is not content:
+    for (node, _), p in zip(found, paths, strict=True):
+        while node is not None and node is not element:
             node = node.parent
-        kept.append(node is content or path in paths)
+        kept.append(p in content or (node is element and not p[1]))
     # A heading goes with the block that it stands over.
     for k in range(len(found) - 2, -1, -1):
-        kept[k] = kept[k] or (found[k][0].tag in HEADINGS and kept[k + 1])
+        kept[k] = kept[k] or (found[k][0].tag in HEADINGS and not paths[k][1] and kept[k + 1])
     return "\n".join(text for (_, text), x in zip(found, kept, strict=True) if x)
 
 
