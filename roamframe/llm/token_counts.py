@@ -4,8 +4,11 @@ Pieces are counted once per distinct pre-token. Texts are dealt into blocks of a
 bytes; a block keeps its vocabulary of pre-tokens once and, for each text, a sparse vector of
 pre-token frequencies over it. The vocabularies of all blocks are reduced to the distinct pre-tokens,
 those are counted with the merges of the tokenizer, joined to (block, pre-token), and each text's
-count is the dot product of its frequencies and the piece counts. A frequent pre-token costs one row a block,
-so no key grows with the number of documents that hold it.
+count is the dot product of its frequencies and the piece counts.
+
+A pre-token costs one row a block that holds it. Those that many blocks hold, of which there are at most MAX_FREQUENT, are found in some of the blocks, counted
+once and joined by broadcast, so that the shuffle by pre-token gives no task the rows of nearly all blocks; which ones are on that list makes no
+difference to any count.
 
 Null and empty texts have no bytes and no tokens. Repeated rows and repeated or null ids each keep their
 own row. Further columns are not read. An empty table gives an empty result.
@@ -25,6 +28,12 @@ from pyspark.sql import functions as F
 from ._common import as_bytes, chunks, materialize, partitions, text_of
 from .pretokens import letters, splitter
 
+#: Blocks that are looked into for frequent pre-tokens, the share of them that makes one frequent, and how many, of how many bytes at most, are taken.
+LOOK_INTO = 64
+FREQUENT = 1 / 8
+MAX_FREQUENT = 1 << 16
+FREQUENT_BYTES = 64
+
 _BLOCK = "block long, ids array<long>, n_bytes array<long>, n_special array<long>, n_distinct array<int>, at binary, freq binary, vocab array<string>"
 
 
@@ -121,6 +130,16 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _frequent(blocks: DataFrame, path: str) -> list[tuple[str, int]]:
+    """Frequent pre-tokens with their numbers of tokens; the list has a bound and serves balance alone."""
+    chosen = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(LOOK_INTO).collect()]
+    pieces = blocks.where(F.col("block").isin(chosen)).select(F.explode("vocab").alias("piece")).where(F.octet_length("piece") <= FREQUENT_BYTES)
+    many = pieces.groupBy("piece").count().where(F.col("count") >= max(2, FREQUENT * len(chosen))).orderBy(F.desc("count"), "piece").limit(MAX_FREQUENT)
+    found = [r["piece"] for r in many.select("piece").collect()]
+    model = splitter(path).model
+    return [(x, len(n)) for a in range(0, len(found), 2048) for x, n in zip(found[a : a + 2048], model.encode_batch_fast([letters(x) for x in found[a : a + 2048]], add_special_tokens=False), strict=True)]
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, block_bytes: int = 8 << 20) -> DataFrame:
     """Per row of docs: its id, n_bytes, n_tokens and over_limit (n_tokens > max_tokens).
 
@@ -129,8 +148,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     blocks = materialize(rows.mapInArrow(_blocks(path, block_bytes), _BLOCK), "token-blocks")
     words = blocks.select("block", F.posexplode("vocab").alias("pos", "piece"))
-    # One shuffle brings each pre-token's blocks together, sorted, so that it is counted once and joined in place.
-    lined = words.repartition(partitions(docs.sparkSession), "piece").sortWithinPartitions("piece")
-    back = lined.mapInArrow(_piece_counts(path), "block long, packed long").groupBy("block").agg(F.collect_list("packed").alias("packed"))
+    frequent = F.broadcast(docs.sparkSession.createDataFrame(_frequent(blocks, path), "piece string, n long"))
+    known = words.join(frequent, "piece").select("block", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("packed"))
+    # One shuffle brings each other pre-token's blocks together, sorted, so that it is counted once and joined in place.
+    rest = words.join(frequent.select("piece"), "piece", "left_anti")
+    lined = rest.repartition(partitions(docs.sparkSession), "piece").sortWithinPartitions("piece")
+    back = lined.mapInArrow(_piece_counts(path), "block long, packed long").unionByName(known).groupBy("block").agg(F.collect_list("packed").alias("packed"))
     sums = blocks.drop("vocab").join(back, "block", "left").mapInArrow(_sums, "id long, n_bytes long, n_tokens long")
     return sums.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
