@@ -154,61 +154,60 @@ def ta_dbscan(t, p, geographic, dist_thresh, min_pts, time_thresh, remove_overla
     return out, new
 
 
+class _Visit:
+    """The visit that is going on: its number, the time from which pings may join it, the core that was last seen in it."""
+
+    __slots__ = ("number", "since", "core")
+
+    def __init__(self, number: int, since: int):
+        self.number, self.since, self.core = number, since, -1
+
+
+def _patience(gaps: np.ndarray, k: int) -> float:
+    """The k-th smallest gap; without end if there are fewer."""
+    return float(np.partition(gaps, k - 1)[k - 1]) if len(gaps) >= k else np.inf
+
+
 def dbstop(t, p, geographic, dist_thresh, min_pts, time_thresh):
-    """One pass with one active stop; an unreachable core opens the next one if its neighbours are nearer in time than those of the path's point then."""
+    """Online density stops: pings come in time order, and at most one visit is going on. Gives labels and core labels.
+
+    A core goes on with the visit if it, or a neighbour still to come, is already one of the visit's cores; it takes its neighbours along, back to the
+    visit's since. Any other core is a sign that the visit is over, unless cores of the visit still lie ahead: then it has to gather its neighbours at least as fast
+    as the place where a straight move between the visit's last and next core would have been at that time, or it is noise.
+    """
     near = neighbours(t, p, geographic, dist_thresh, time_thresh)
     n = len(t)
-    is_core = np.array([len(x) >= min_pts for x in near], bool)
-    labels = np.full(n, -1, np.int64)
-    cores = np.full(n, -1, np.int64)
-    if not n:
-        return labels, cores
-    active, past, candidate, before = -1, t[0], t[0], -1
-
-    def expand(seed, own, since):
-        cores[seed] = labels[seed] = own
-        for j in near[seed]:
-            if t[j] >= since:
-                labels[j] = own
-                if is_core[j]:
-                    cores[j] = own
-
-    def spread(d):
-        d = np.sort(d)
-        return d[min_pts - 1] if len(d) >= min_pts else None
+    dense = np.array([len(x) >= min_pts for x in near], bool)
+    labels, cores = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    visit, border = None, t[0] if n else 0
+
+    def departs(i: int) -> bool:
+        ahead = i + 1 + np.flatnonzero(cores[i + 1 :] == visit.number)
+        if not len(ahead):
+            return True
+        a, b = visit.core, int(ahead[0])
+        expected = p[a] + (p[b] - p[a]) * ((t[i] - t[a]) / max(t[b] - t[a], 1))
+        there = np.abs(t[distances(p, expected, geographic) <= dist_thresh] - t[i])
+        stay = _patience(there, min_pts)
+        return np.isfinite(stay) and _patience(np.abs(t[near[i]] - t[i]), min_pts) <= stay
 
     for i in range(n):
-        if not is_core[i]:
-            if active >= 0 and labels[i] == active:
-                candidate = t[i]
+        own = visit.number if visit else -2
+        if not dense[i]:
+            if labels[i] == own:
+                border = t[i]
             else:
                 labels[i] = -1
             continue
-        later = near[i][near[i] > i]
-        if active >= 0 and (cores[i] == active or (cores[later] == active).any()):
-            expand(i, active, past)
-            candidate, before = t[i], i
-            continue
-        opens = active < 0
-        if not opens:
-            ahead = np.flatnonzero((cores == active) & (np.arange(n) > i))
-            if not len(ahead) or before < 0:
-                opens = True
-            else:
-                q = ahead[0]
-                w = (t[i] - t[before]) / max(t[q] - t[before], 1)
-                point = p[before] + (p[q] - p[before]) * w
-                own = spread(np.abs(t[near[i]] - t[i]))
-                others = np.flatnonzero(distances(p, point, geographic) <= dist_thresh)
-                other = spread(np.abs(t[others] - t[i]))
-                opens = other is not None and own is not None and own <= other
-        if opens:
-            active += 1
-            past = candidate
-            expand(i, active, past)
-            candidate, before = t[i], i
-        else:
-            labels[i] = cores[i] = -1
+        if own not in cores[np.append(near[i][near[i] > i], i)]:
+            if visit and not departs(i):
+                labels[i] = cores[i] = -1
+                continue
+            visit = _Visit(visit.number + 1 if visit else 0, border)
+        taken = np.append(near[i][t[near[i]] >= visit.since], i)
+        labels[taken] = visit.number
+        cores[taken[dense[taken]]] = visit.number
+        border, visit.core = t[i], i
     return labels, cores
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..columns import ColumnMap
+from ..functions.spread import spread
 from ..operators.stop_tables import merge_stops, summarize_stops
 from . import hdbscan, kernels
 
@@ -33,7 +34,7 @@ def per_user(pings: DataFrame, label: Callable, extra: Sequence[tuple[str, T.Dat
         columns = found if isinstance(found, tuple) else (found,)
         return pdf.assign(**dict(zip(["cluster", *[n for n, _ in extra]], columns, strict=True)))
 
-    return pings.groupBy(cols["user_id"]).applyInPandas(of, schema)
+    return spread(pings, cols["user_id"]).groupBy(cols["user_id"]).applyInPandas(of, schema)
 
 
 def stops_of(labelled: DataFrame, dur_min: int = 0, shapes: bool = True, traj_cols: Mapping[str, str] | None = None, passthrough: Sequence[str] = (), **given: str) -> DataFrame:

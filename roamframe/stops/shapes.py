@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.spread import spread
 from .kernels import diameter, medoid
 
 
@@ -32,7 +33,7 @@ def medoid_and_diameter(rows: DataFrame, by: Sequence[str], coords: tuple[str, s
         out["diameter"] = [int(np.rint(diameter(q, geographic)[0])) for q in parts]
         return out
 
-    return keep.groupBy(*by[:-1]).applyInPandas(of, schema)
+    return spread(keep, *by[:-1]).groupBy(*by[:-1]).applyInPandas(of, schema)
 
 
 def hull(points: np.ndarray) -> list[tuple[float, float]]:
