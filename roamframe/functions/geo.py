@@ -83,7 +83,13 @@ def tessellate(a: Column, b: Column, index: str, res: float) -> Column:
             import h3
         except ImportError as e:
             raise ImportError("H3 cells need the h3 package") from e
-        cell = F.udf(lambda lon, lat: h3.latlng_to_cell(lat, lon, int(res)), "string")
+
+        @F.pandas_udf("string")
+        def cell(lon, lat):
+            import pandas as pd
+
+            return pd.Series([h3.latlng_to_cell(y, x, int(res)) for x, y in zip(lon, lat, strict=True)], dtype=object)
+
         return cell(a, b)
     raise NotImplementedError(index)
 
@@ -135,8 +141,8 @@ def is_within(x: Column, y: Column, within) -> Column:
     return in_box(x, y, bounds(polygons)) & inside
 
 
-def ring_contains(x: Column, y: Column, ring: Column) -> Column:
-    """Strictly inside a ring held as array<struct<x,y>>, its last point the first again."""
+def ring_contains(x: Column, y: Column, ring: Column, boundary: bool = False) -> Column:
+    """Inside a ring held as array<struct<x,y>>, its last point the first again; with boundary, on it too."""
     edges = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.element_at(ring, i.cast("int")).alias("a"), F.element_at(ring, (i + 1).cast("int")).alias("b")))
 
     def crosses(e: Column) -> Column:
@@ -149,7 +155,12 @@ def ring_contains(x: Column, y: Column, ring: Column) -> Column:
         return flat & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
 
     odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return odd & ~F.exists(edges, on)
+    return odd | F.exists(edges, on) if boundary else odd & ~F.exists(edges, on)
+
+
+def polygon_contains(x: Column, y: Column, ring: Column, holes: Column) -> Column:
+    """Strictly inside a ring and neither in nor on one of its holes."""
+    return ring_contains(x, y, ring) & ~F.exists(holes, lambda h: ring_contains(x, y, h, boundary=True))
 
 
 def ring_distance(x: Column, y: Column, ring: Column) -> Column:

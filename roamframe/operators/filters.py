@@ -88,8 +88,11 @@ def q_filter(df: DataFrame, qbar: float, traj_cols: Mapping[str, str] | None = N
     return df.join(users, cols["user_id"], "left_semi")
 
 
-def clip_spatial_outliers(df: DataFrame, lower_q: float = 0.01, upper_q: float = 0.99, traj_cols: Mapping[str, str] | None = None, approximate: bool = False, **given: str) -> DataFrame:
-    """Rows inside the box of coordinate quantiles; one row of bounds is broadcast."""
+def clip_spatial_outliers(df: DataFrame, lower_q: float = 0.01, upper_q: float = 0.99, traj_cols: Mapping[str, str] | None = None, approximate: bool = True, **given: str) -> DataFrame:
+    """Rows inside the box of coordinate quantiles; one row of bounds is broadcast.
+
+    Quantiles are off by at most one rank in 10,000; exact ones gather all distinct coordinates in one task, and are for tables of known size.
+    """
     cols = ColumnMap.resolve(df.columns, traj_cols, **given)
     a, b = (cols[k] for k in cols.spatial())
     of = F.percentile_approx if approximate else F.percentile

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chance import share
+
 
 def laplace(scale: Column, seed: int, *keys: str) -> Column:
-    """Laplace noise from a hash of row keys, so that it does not depend on partitions."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit((1 << 53) - 1)) + 1) / F.lit(float(1 << 53)) - 0.5
+    """Laplace noise from a hash of row keys, so that it does not depend on partitions; the least share, which has no logarithm, counts as the next one."""
+    u = F.greatest(share(seed, *keys), F.lit(2.0**-52)) - 0.5
     return -scale * F.signum(u) * F.log(1 - 2 * F.abs(u))
 
 
@@ -26,10 +28,10 @@ def flows(od: DataFrame, origin: str = "origin", dest: str = "dest", weight: str
 def remained(od: DataFrame, origin: str = "origin", dest: str = "dest", weight: str = "weight", eps: float | None = None, seed: int = 0) -> DataFrame:
     """Per origin the percentage of its weight that stays; noise has each row's own scale and is not normalised."""
     grouped = od.groupBy(origin).agg(F.sum(weight).alias("__t"), F.sum(F.when(F.col(origin) == F.col(dest), F.col(weight))).alias("__r")).where("__r is not null")
-    share = F.try_divide(F.col("__r"), F.col("__t"))
+    part = F.try_divide(F.col("__r"), F.col("__t"))
     if eps is not None:
-        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), share + laplace(1 / (F.col("__t") * eps), seed, origin)))
-    return grouped.select(origin, F.col("__r").alias(weight), (share * 100).alias("pct"))
+        part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), part + laplace(1 / (F.col("__t") * eps), seed, origin)))
+    return grouped.select(origin, F.col("__r").alias(weight), (part * 100).alias("pct"))
 
 
 def moved(od: DataFrame, origin: str = "origin", dest: str = "dest", weight: str = "weight", eps: float | None = None, seed: int = 0) -> DataFrame:

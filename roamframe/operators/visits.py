@@ -10,50 +10,57 @@ from .intervals import point_in_interval
 
 
 def poi_layer(spark, polygons: dict[str, str]) -> DataFrame:
-    """(location_id, part, ring) from WKT; outer rings alone, closed."""
-    rows = []
-    for name, wkt in polygons.items():
-        for k, (shell, *_) in enumerate(geo.parse_wkt(wkt)):
-            ring = shell if shell[0] == shell[-1] else [*shell, shell[0]]
-            rows.append((name, k, [{"x": float(x), "y": float(y)} for x, y in ring]))
-    return spark.createDataFrame(rows, "location_id string, part int, ring array<struct<x:double,y:double>>")
+    """(location_id, part, ring, holes) from WKT; rings are closed."""
+    closed = lambda ring: [{"x": float(x), "y": float(y)} for x, y in (ring if ring[0] == ring[-1] else [*ring, ring[0]])]
+    rows = [(name, k, closed(shell), [closed(h) for h in holes]) for name, wkt in polygons.items() for k, (shell, *holes) in enumerate(geo.parse_wkt(wkt))]
+    return spark.createDataFrame(rows, "location_id string, part int, ring array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>")
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
 
 
-def poi_map(points: DataFrame, pois: DataFrame, max_distance: float = 0.0, point_id: str = "ping_id", coords: tuple[str, str] = ("x", "y"), cell: float | None = None) -> DataFrame:
-    """points with the location_id of the polygon that strictly contains each, the smallest if several do, null if none.
+#: Cells with their polygons that are sent to every executor; more are joined by shuffle.
+MAX_CELLS = 100_000
 
-    With max_distance the nearest polygon within it, ties by id. Points meet polygons in square cells of their boxes, padded by the distance.
+
+def poi_map(points: DataFrame, pois: DataFrame, max_distance: float = 0.0, coords: tuple[str, str] = ("x", "y"), cell: float | None = None) -> DataFrame:
+    """points with the location_id of the polygon that strictly contains each (holes are outside), the smallest if several do, null if none.
+
+    With max_distance the nearest polygon within it, in units of the coordinates, ties by id. Each square cell holds the polygons whose boxes, padded by the distance,
+    touch it; a point is looked up in its cell by one left join. Cells are as large as a polygon's box is on average, so degrees and metres both do.
     """
     xs, ys = (lambda f: f(F.transform("ring", lambda p: p["x"]))), (lambda f: f(F.transform("ring", lambda p: p["y"])))
     pad = float(max_distance)
-    size = float(cell or max(pad * 2, 1000.0))
-    boxed = pois.select(F.col("location_id").alias("__loc"), "ring", (xs(F.array_min) - pad).alias("__x0"), (xs(F.array_max) + pad).alias("__x1"), (ys(F.array_min) - pad).alias("__y0"), (ys(F.array_max) + pad).alias("__y1"))
-    boxed = boxed.withColumn("__cx", F.explode(_cells(F.col("__x0"), F.col("__x1"), size))).withColumn("__cy", F.explode(_cells(F.col("__y0"), F.col("__y1"), size)))
-    x, y = (F.col(c) for c in coords)
-    keyed = points.select(point_id, *coords).withColumns({"__cx": F.floor(x / size).cast("long"), "__cy": F.floor(y / size).cast("long")})
-    near = keyed.join(boxed, ["__cx", "__cy"]).where(x.between(F.col("__x0"), F.col("__x1")) & y.between(F.col("__y0"), F.col("__y1")))
-    inside = geo.ring_contains(x, y, F.col("ring"))
+    holes = F.col("holes") if "holes" in pois.columns else F.array().cast(pois.select(F.array("ring")).dtypes[0][1])
+    boxed = pois.select("location_id", "ring", holes.alias("holes"), (xs(F.array_min) - pad).alias("x0"), (xs(F.array_max) + pad).alias("x1"), (ys(F.array_min) - pad).alias("y0"), (ys(F.array_max) + pad).alias("y1"))
+    size = float(cell or boxed.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0)
+    placed = boxed.withColumn("__cx", F.explode(_cells(F.col("x0"), F.col("x1"), size))).withColumn("__cy", F.explode(_cells(F.col("y0"), F.col("y1"), size)))
+    cells = placed.groupBy("__cx", "__cy").agg(F.collect_list(F.struct("location_id", "ring", "holes", "x0", "x1", "y0", "y1")).alias("__near"))
+    if cells.count() <= MAX_CELLS:
+        cells = F.broadcast(cells)
+    x, y = (F.col(c).cast("double") for c in coords)
+    out = points.drop("location_id").withColumns({"__cx": F.floor(x / size).cast("long"), "__cy": F.floor(y / size).cast("long")}).join(cells, ["__cx", "__cy"], "left")
+    boxes = F.filter("__near", lambda p: x.between(p["x0"], p["x1"]) & y.between(p["y0"], p["y1"]))
+    inside = lambda p: geo.polygon_contains(x, y, p["ring"], p["holes"])
     if max_distance <= 0:
-        found = near.where(inside).groupBy(point_id).agg(F.min("__loc").alias("location_id"))
+        found = F.array_min(F.transform(F.filter(boxes, inside), lambda p: p["location_id"]))
     else:
-        d = F.when(inside, 0.0).otherwise(geo.ring_distance(x, y, F.col("ring")))
-        found = near.withColumn("__d", d).where(F.col("__d") <= pad).groupBy(point_id).agg(F.min(F.struct("__d", "__loc")).alias("__m")).select(point_id, F.col("__m.__loc").alias("location_id"))
-    return points.drop("location_id").join(found, point_id, "left")
+        edge = lambda p: F.array_min(F.transform(F.concat(F.array(p["ring"]), p["holes"]), lambda r: geo.ring_distance(x, y, r)))
+        far = F.transform(boxes, lambda p: F.struct(F.when(inside(p), 0.0).otherwise(edge(p)).alias("d"), p["location_id"].alias("l")))
+        found = F.array_min(F.filter(far, lambda m: m["d"] <= pad))["l"]
+    return out.withColumn("location_id", found).select(*[c for c in points.columns if c != "location_id"], "location_id")
 
 
-def cluster_locations(labelled: DataFrame, pois: DataFrame, method: str = "centroid", point_id: str = "ping_id", coords: tuple[str, str] = ("x", "y"), keys: tuple[str, ...] = ("user_id",), label: str = "cluster") -> DataFrame:
+def cluster_locations(labelled: DataFrame, pois: DataFrame, method: str = "centroid", coords: tuple[str, str] = ("x", "y"), keys: tuple[str, ...] = ("user_id",), label: str = "cluster") -> DataFrame:
     """Pings with one place per cluster: that of its mean point, or its pings' most frequent one (ties: the smallest). Noise has none."""
     by = [*keys, label]
     own = labelled.where(F.col(label) != -1)
     if method == "centroid":
-        means = own.groupBy(*by).agg(*[F.avg(c).alias(c) for c in coords]).withColumn("__id", F.xxhash64(*by))
-        placed = poi_map(means, pois, 0.0, "__id", coords).select(*by, "location_id")
+        means = own.groupBy(*by).agg(*[F.avg(c).alias(c) for c in coords])
+        placed = poi_map(means, pois, 0.0, coords).select(*by, "location_id")
     elif method == "majority":
-        counts = poi_map(own, pois, 0.0, point_id, coords).where("location_id is not null").groupBy(*by, "location_id").agg(F.count("*").alias("__n"))
+        counts = poi_map(own, pois, 0.0, coords).where("location_id is not null").groupBy(*by, "location_id").agg(F.count("*").alias("__n"))
         placed = counts.groupBy(*by).agg(F.min(F.struct(-F.col("__n"), F.col("location_id"))).alias("__m")).select(*by, F.col("__m.location_id").alias("location_id"))
     else:
         raise ValueError(method)

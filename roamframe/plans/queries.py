@@ -146,7 +146,7 @@ def within_polygon(spark, sf):
  SELECT ping_id FROM pings, q WHERE x BETWEEN a AND b AND y BETWEEN c AND d"""
 )
 def clip_outliers(spark, sf):
-    return filters.clip_spatial_outliers(pings(spark, sf), 0.1, 0.9).select("ping_id")
+    return filters.clip_spatial_outliers(pings(spark, sf), 0.1, 0.9, approximate=False).select("ping_id")
 
 
 @query(
@@ -215,15 +215,14 @@ def contacts_by_radius(spark, sf):
 
 
 def _overlap_sql(on: str) -> str:
-    return f"""WITH {STOPS}, a AS (SELECT * FROM stops WHERE n_pings = 2), b AS (SELECT user_id, location_id, start_timestamp - 7200 AS start_timestamp, end_timestamp + 3600 AS end_timestamp FROM stops)
+    return f"""WITH {STOPS}, b AS (SELECT user_id, location_id, start_timestamp - 7200 AS start_timestamp, end_timestamp + 3600 AS end_timestamp FROM stops)
  SELECT a.user_id, a.location_id AS left_location, b.location_id AS right_location, a.start_timestamp AS left_start, a.end_timestamp AS left_end, b.start_timestamp AS right_start, b.end_timestamp AS right_end,
- (least(a.end_timestamp, b.end_timestamp) - greatest(a.start_timestamp, b.start_timestamp)) // 60 AS overlap FROM a JOIN b ON {on} AND a.start_timestamp < b.end_timestamp AND b.start_timestamp < a.end_timestamp"""
+ (least(a.end_timestamp, b.end_timestamp) - greatest(a.start_timestamp, b.start_timestamp)) // 60 AS overlap FROM stops a JOIN b ON {on} AND a.start_timestamp < b.end_timestamp AND b.start_timestamp < a.end_timestamp"""
 
 
 def _overlap_sides(spark, sf):
-    """The left table has stops of two pings, as in _overlap_sql; the queries without SQL take all stops."""
-    s, moved = _all_overlap_sides(spark, sf)
-    return s.where("n_pings = 2"), moved
+    s, moved = stops(spark, sf), stops(spark, sf)
+    return s, moved.withColumns({"start_timestamp": F.col("start_timestamp") - 7200, "end_timestamp": F.col("end_timestamp") + 3600})
 
 
 @query(_overlap_sql("a.user_id = b.user_id AND a.location_id = b.location_id"))
@@ -236,21 +235,6 @@ def overlapping_visits_any(spark, sf):
     return con.overlapping_visits(*_overlap_sides(spark, sf))
 
 
-def _all_overlap_sides(spark, sf):
-    s, moved = stops(spark, sf), stops(spark, sf)
-    return s, moved.withColumns({"start_timestamp": F.col("start_timestamp") - 7200, "end_timestamp": F.col("end_timestamp") + 3600})
-
-
-@query()
-def overlapping_visits_matched_all(spark, sf):
-    return con.overlapping_visits(*_all_overlap_sides(spark, sf), match_location=True)
-
-
-@query()
-def overlapping_visits_any_all(spark, sf):
-    return con.overlapping_visits(*_all_overlap_sides(spark, sf))
-
-
 @query(f"WITH {STOPS} SELECT a.location_id AS l_place, count(*) AS n FROM stops a JOIN stops b ON a.start_timestamp < b.end_timestamp AND b.start_timestamp < a.end_timestamp GROUP BY 1")
 def interval_overlap_count(spark, sf):
     s = stops(spark, sf)
@@ -419,9 +403,13 @@ def flow_map_layers(spark, sf):
     return _round(od.map_layers(flow_table(spark, sf), 100), "width", digits=6)
 
 
-@query()
+def _share_sql(*keys: str) -> str:
+    return f"CAST('0x' || md5(concat_ws('|', {', '.join(keys)}))[1:13] AS BIGINT) / 4503599627370496.0"
+
+
+@query(f"WITH {FLOWS}, n AS (SELECT *, greatest({_share_sql("'7'", 'origin', 'dest')}, power(2.0, -52)) - 0.5 AS u, sum(weight) OVER () AS t FROM flows), p AS (SELECT *, greatest(0, weight / t - 1 / t * sign(u) * ln(1 - 2 * abs(u))) AS p FROM n) SELECT origin, dest, weight, round(100 * p / sum(p) OVER (), 6) AS pct FROM p")
 def flow_shares_private(spark, sf):
-    return od.flows(flow_table(spark, sf), eps=1.0, seed=7)
+    return _round(od.flows(flow_table(spark, sf), eps=1.0, seed=7), "pct", digits=6)
 
 
 @query(f"WITH {PINGS} SELECT ping_id, {POI_SQL} AS location_id FROM pings")
@@ -434,6 +422,18 @@ def poi_nearest(spark, sf):
     return visits.poi_map(pings(spark, sf), visits.poi_layer(spark, POIS), 120.0).select("ping_id", "location_id")
 
 
+@query(f"WITH {PINGS} SELECT ping_id, CASE WHEN x > 50 AND x < 850 AND y > 50 AND y < 850 AND NOT (x BETWEEN 300 AND 500 AND y BETWEEN 200 AND 400) THEN 'ring' WHEN x > 300 AND x < 500 AND y > 200 AND y < 400 THEN 'yard' END AS location_id FROM pings")
+def poi_holes(spark, sf):
+    layer = visits.poi_layer(spark, {"ring": "POLYGON((50 50, 850 50, 850 850, 50 850, 50 50), (300 200, 500 200, 500 400, 300 400, 300 200))", "yard": "POLYGON((300 200, 500 200, 500 400, 300 400, 300 200))"})
+    return visits.poi_map(pings(spark, sf), layer).select("ping_id", "location_id")
+
+
+@query(f"WITH {_LABELS}, m AS (SELECT user_id, run, avg(x) AS x, avg(y) AS y FROM k WHERE keep GROUP BY 1, 2), l AS (SELECT user_id, run, CASE WHEN x < 450 THEN 'west' WHEN x > 450 AND y < 450 THEN 'east' END AS l FROM m) SELECT k.ping_id, l.l AS location_id FROM k LEFT JOIN l ON k.keep AND k.user_id = l.user_id AND k.run = l.run")
+def cluster_centroid(spark, sf):
+    labelled = grid_labels(pings(spark, sf), 1440, 2, 5, tiebreak=["ping_id"])
+    return visits.cluster_locations(labelled, visits.poi_layer(spark, POIS)).select("ping_id", "location_id")
+
+
 @query(
     f"""WITH {_LABELS}, c AS (SELECT user_id, run, ping_id, {POI_SQL} AS l FROM k WHERE keep), m AS (SELECT user_id, run, l, count(*) AS n FROM c WHERE l IS NOT NULL GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY user_id, run ORDER BY n DESC, l) = 1)
  SELECT k.ping_id, m.l AS location_id FROM k LEFT JOIN m ON k.keep AND k.user_id = m.user_id AND k.run = m.run"""
@@ -479,11 +479,15 @@ def detection_scores(spark, sf):
     return _round(validation.stop_detection_metrics(found, truth), "precision", "recall", "f1", digits=6)
 
 
-@query()
+@query(
+    f"""WITH {_MERGED}, o AS (SELECT a.user_id, a.start_timestamp AS ls, a.location_id AS ll, b.start_timestamp AS rs, b.location_id AS rl FROM merged a JOIN stops b ON a.user_id = b.user_id AND a.start_timestamp < b.end_timestamp AND b.start_timestamp < a.end_timestamp),
+ q AS (SELECT user_id, ls, count(DISTINCT rl) > 1 AS spans FROM o GROUP BY 1, 2), v AS (SELECT user_id, rs, max(CAST(spans AS INT)) AS merged, CAST(count(DISTINCT CASE WHEN ll = rl THEN ls END) > 1 AS INT) AS split FROM o JOIN q USING (user_id, ls) GROUP BY 1, 2)
+ SELECT s.user_id, round(avg(CASE WHEN v.rs IS NULL THEN 1 ELSE 0 END), 6) AS missed_fraction, round(avg(coalesce(merged, 0)), 6) AS merged_fraction, round(avg(coalesce(split, 0)), 6) AS split_fraction FROM stops s LEFT JOIN v ON s.user_id = v.user_id AND s.start_timestamp = v.rs GROUP BY 1"""
+)
 def visitation_errors(spark, sf):
     truth = stops(spark, sf)
     found = stop_tables.merge_stops(truth, 2880)
-    return validation.visitation_errors(con.overlapping_visits(found, truth), truth)
+    return _round(validation.visitation_errors(con.overlapping_visits(found, truth), truth), "missed_fraction", "merged_fraction", "split_fraction", digits=6)
 
 
 @query("SELECT event_type AS family, count(*) AS n, round(avg(value), 6) AS mean_seconds FROM events GROUP BY 1")
@@ -497,7 +501,7 @@ def bootstrap_medians(spark, sf):
     return validation.bootstrap_summary(pings(spark, sf).select("user_id", "location_id", "ha"), ["ha"], ["location_id"], "user_id", 50)
 
 
-@query()
+@query(f"SELECT DISTINCT user_id FROM events WHERE {_share_sql("'3'", 'user_id')} < 0.2")
 def sampled_users(spark, sf):
     return io.sample_users(pings(spark, sf), 0.2, seed=3)
 
@@ -530,9 +534,48 @@ def roaming_stops(spark, sf):
     return runner.roaming_labels(pings(spark, sf), 500, 2880, 300, tiebreak=["ping_id"]).select("ping_id", "cluster")
 
 
-@query()
+_ORDERED = """o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, ping_id) AS i, lag(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp, ping_id) AS pt FROM pings)"""
+_AWAY = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+# A window from ping i on is whole up to the first ping that is too late, or too far from one of the window.
+_LACHESIS = f"""WITH RECURSIVE {PINGS}, {_ORDERED}, far AS (SELECT b.user_id, b.i, max(a.i) AS k FROM o a JOIN o b ON a.user_id = b.user_id AND a.i < b.i AND ({_AWAY} > 500 OR (a.i = b.i - 1 AND b.timestamp - b.pt > 172800)) GROUP BY 1, 2),
+ e AS (SELECT a.user_id, a.i, a.timestamp AS t, coalesce(min(b.i), max(n.n) + 1) AS stop FROM o a JOIN (SELECT user_id, count(*) AS n FROM o GROUP BY 1) n USING (user_id) LEFT JOIN far b ON a.user_id = b.user_id AND b.i > a.i AND b.k >= a.i GROUP BY ALL),
+ f AS (SELECT e.user_id, e.i, e.stop, z.timestamp - e.t >= 18000 AS ok FROM e JOIN o z ON z.user_id = e.user_id AND z.i = e.stop - 1),
+ walk AS (SELECT user_id, i, stop, ok FROM f WHERE i = 1 UNION ALL SELECT f.user_id, f.i, f.stop, f.ok FROM walk w JOIN f ON f.user_id = w.user_id AND f.i = CASE WHEN w.ok THEN w.stop ELSE w.i + 1 END),
+ s AS (SELECT user_id, i, stop, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS c FROM walk WHERE ok),
+ labelled AS (SELECT o.*, coalesce(s.c, -1) AS cluster FROM o LEFT JOIN s ON o.user_id = s.user_id AND o.i >= s.i AND o.i < s.stop)"""
+# Clusters of cores by closure; cut where another one's core comes between; a border goes to the first run of cores that reaches it after what the run before took.
+_TA = f"""WITH RECURSIVE {PINGS}, {_ORDERED}, nb AS (SELECT a.user_id, a.i, b.i AS j, b.timestamp AS tj FROM o a JOIN o b ON a.user_id = b.user_id AND a.i <> b.i AND abs(a.timestamp - b.timestamp) <= 172800 AND {_AWAY} <= 300),
+ core AS (SELECT o.user_id, o.i, o.timestamp AS t FROM o JOIN (SELECT user_id, i FROM nb GROUP BY 1, 2 HAVING count(*) >= 2) USING (user_id, i)),
+ reach AS (SELECT user_id, i AS root, i FROM core UNION SELECT r.user_id, r.root, nb.j FROM reach r JOIN nb ON nb.user_id = r.user_id AND nb.i = r.i JOIN core c ON c.user_id = nb.user_id AND c.i = nb.j),
+ comp AS (SELECT user_id, i, min(root) AS root FROM reach GROUP BY 1, 2), raw AS (SELECT c.user_id, c.i, c.t, comp.root FROM core c JOIN comp USING (user_id, i)),
+ num AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY root) - 1 AS label FROM raw),
+ chg AS (SELECT *, CASE WHEN root IS DISTINCT FROM lag(root) OVER (PARTITION BY user_id ORDER BY i) THEN 1 ELSE 0 END AS ch FROM raw), run AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY i) - 1 AS k FROM chg),
+ border AS (SELECT DISTINCT nb.user_id, run.k, nb.j, nb.tj FROM nb JOIN run USING (user_id, i) LEFT JOIN core c ON c.user_id = nb.user_id AND c.i = nb.j WHERE c.i IS NULL),
+ r0 AS (SELECT user_id, k, min(t) AS s, max(t) AS e FROM run GROUP BY 1, 2), r1 AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY k), 9e18::BIGINT) AS until FROM r0),
+ r AS (SELECT r1.*, coalesce(l, []) AS l FROM r1 LEFT JOIN (SELECT user_id, k, list(tj) AS l FROM border GROUP BY 1, 2) USING (user_id, k)),
+ took AS (SELECT user_id, k, CAST(-9e18 AS BIGINT) AS since, greatest(e, coalesce(list_max(list_filter(l, lambda x: x < until)), e)) AS upto, until FROM r WHERE k = 0
+  UNION ALL SELECT r.user_id, r.k, w.upto, greatest(r.e, coalesce(list_max(list_filter(r.l, lambda x: x > w.upto AND x < r.until)), r.e)), r.until FROM took w JOIN r ON r.user_id = w.user_id AND r.k = w.k + 1),
+ placed AS (SELECT user_id, i, k FROM run UNION ALL SELECT b.user_id, b.j, min(b.k) FROM border b JOIN took w ON w.user_id = b.user_id AND w.k = b.k AND b.tj > w.since AND b.tj < w.until GROUP BY 1, 2),
+ labelled AS (SELECT o.*, CAST(coalesce(placed.k, -1) AS BIGINT) AS cluster FROM o LEFT JOIN placed USING (user_id, i))"""
+
+
+def _stops_sql(labelled: str, dur_min: int = 0) -> str:
+    """Stops of labelled pings, with medoid and diameter."""
+    return f"""{labelled}, w AS (SELECT *, timestamp - lag(timestamp) OVER (PARTITION BY user_id, cluster ORDER BY i) AS step FROM labelled WHERE cluster >= 0),
+ g AS (SELECT user_id, cluster, min(timestamp) AS start_timestamp, max(timestamp) AS end_timestamp, count(*) AS n_pings, coalesce(max(step) // 60, 0) AS max_gap, round(avg(ha), 9) AS ha FROM w GROUP BY 1, 2),
+ d AS (SELECT a.user_id, a.cluster, a.i, a.x, a.y, sum({_AWAY}) AS total, max({_AWAY}) AS far FROM w a JOIN w b USING (user_id, cluster) GROUP BY ALL),
+ m AS (SELECT user_id, cluster, x, y, CAST(round_even(max(far) OVER (PARTITION BY user_id, cluster), 0) AS BIGINT) AS diameter FROM d QUALIFY row_number() OVER (PARTITION BY user_id, cluster ORDER BY round(total, 6), i) = 1)
+ SELECT g.*, (end_timestamp - start_timestamp) // 60 AS duration, x, y, diameter FROM g JOIN m USING (user_id, cluster) WHERE (end_timestamp - start_timestamp) // 60 >= {dur_min}"""
+
+
+@query(_stops_sql(_LACHESIS))
 def lachesis_stops(spark, sf):
-    return runner.stops_of(runner.lachesis_labels(pings(spark, sf), 2880, 500, 300, tiebreak=["ping_id"]))
+    return _round(runner.stops_of(runner.lachesis_labels(pings(spark, sf), 2880, 500, 300, tiebreak=["ping_id"])), "ha", digits=9)
+
+
+@query(f"{_LACHESIS} SELECT ping_id, cluster FROM labelled")
+def lachesis_pings(spark, sf):
+    return runner.lachesis_labels(pings(spark, sf), 2880, 500, 300, tiebreak=["ping_id"]).select("ping_id", "cluster")
 
 
 @query()
@@ -540,9 +583,14 @@ def lachesis_merged(spark, sf):
     return runner.lachesis_labels(pings(spark, sf), 2880, 500, 300, return_anchors=True, postprocessing="dbscan", eps=300, tiebreak=["ping_id"]).select("ping_id", "cluster", "anchor_time")
 
 
-@query()
+@query(_stops_sql(_TA, 5))
 def ta_dbscan_stops(spark, sf):
-    return runner.stops_of(runner.ta_dbscan_labels(pings(spark, sf), 300, 2, 2880, tiebreak=["ping_id"]), dur_min=5)
+    return _round(runner.stops_of(runner.ta_dbscan_labels(pings(spark, sf), 300, 2, 2880, tiebreak=["ping_id"]), dur_min=5), "ha", digits=9)
+
+
+@query(f"{_TA}, one AS (SELECT user_id, i, label FROM num UNION ALL SELECT nb.user_id, nb.j, min(label) FROM nb JOIN num USING (user_id, i) LEFT JOIN core c ON c.user_id = nb.user_id AND c.i = nb.j WHERE c.i IS NULL GROUP BY 1, 2) SELECT ping_id, CAST(coalesce(label, -1) AS BIGINT) AS cluster FROM o LEFT JOIN one USING (user_id, i)")
+def ta_dbscan_overlapping(spark, sf):
+    return runner.ta_dbscan_labels(pings(spark, sf), 300, 2, 2880, remove_overlaps=False, tiebreak=["ping_id"]).select("ping_id", "cluster")
 
 
 @query()
@@ -565,19 +613,14 @@ def detected_locations(spark, sf):
     return runner.detect_locations(placed_stops(spark, sf).select("user_id", "start_timestamp", "x", "y"), 60)
 
 
-_BOXES = """boxes AS (SELECT c_custkey AS location_id, CAST(c_custkey % 30 AS DOUBLE) AS x0, CAST(c_custkey % 20 AS DOUBLE) AS y0, c_custkey % 30 + 1.5 + c_custkey % 4 AS x1, c_custkey % 20 + 1.5 + c_custkey % 3 AS y1 FROM customer WHERE c_custkey <= 900)"""
+_BOXES = """boxes AS (SELECT c_custkey AS location_id, CAST(c_custkey % 30 AS DOUBLE) AS x0, CAST(c_custkey % 20 AS DOUBLE) AS y0, c_custkey % 30 + 1.5 + c_custkey % 4 AS x1, c_custkey % 20 + 1.5 + c_custkey % 3 AS y1 FROM customer)"""
 
 
-def _all_boxes(spark, sf):
+def _boxes(spark, sf):
     k = F.col("c_custkey")
     return table(spark, sf, "customer").select(k.alias("location_id"), (k % 30).cast("double").alias("x0"), (k % 20).cast("double").alias("y0"), (k % 30 + 1.5 + k % 4).cast("double").alias("x1"), (k % 20 + 1.5 + k % 3).cast("double").alias("y1"))
 
 
-def _boxes(spark, sf):
-    """The boxes that _BOXES names; the queries without SQL take all."""
-    return _all_boxes(spark, sf).where("location_id <= 900")
-
-
 @query(f"WITH {_BOXES} SELECT location_id FROM boxes i WHERE NOT EXISTS (SELECT 1 FROM boxes o WHERE o.location_id <> i.location_id AND i.x0 >= o.x0 AND i.y0 >= o.y0 AND i.x1 <= o.x1 AND i.y1 <= o.y1 AND (i.x0 <> o.x0 OR i.y0 <> o.y0 OR i.x1 <> o.x1 OR i.y1 <> o.y1 OR o.location_id < i.location_id))")
 def overlaps_removed(spark, sf):
     return visits.box_overlap(_boxes(spark, sf), 10.0).select("location_id")
@@ -588,16 +631,6 @@ def intersecting_blocks(spark, sf):
     return visits.blocks_in_boxes(_boxes(spark, sf))
 
 
-@query()
-def overlaps_removed_all(spark, sf):
-    return visits.box_overlap(_all_boxes(spark, sf), 10.0).select("location_id")
-
-
-@query()
-def intersecting_blocks_all(spark, sf):
-    return visits.blocks_in_boxes(_all_boxes(spark, sf))
-
-
 @query()
 def city_blocks(spark, sf):
     return city.to_frames(spark, city.random_city(20, 20, seed=1))["blocks"]
@@ -609,9 +642,13 @@ def city_gravity(spark, sf):
     return city.gravity(layers["buildings"], 2.0)
 
 
-@query()
+_TOWN = city.random_city(12, 12, seed=1)
+_STREETS = ", ".join(f"({x}, {y})" for x, y in sorted(_TOWN.streets))
+
+
+@query(f"WITH RECURSIVE s AS (SELECT * FROM (VALUES {_STREETS}) AS s (x, y)), r AS (SELECT x, y, x AS a, y AS b FROM s UNION SELECT r.x, r.y, s.x, s.y FROM r JOIN s ON abs(r.a - s.x) + abs(r.b - s.y) = 1) SELECT x AS coord_x, y AS coord_y, min(CAST(a AS BIGINT) * 1048576 + b) AS component FROM r GROUP BY 1, 2")
 def street_components(spark, sf):
-    return city.components(city.to_frames(spark, city.random_city(12, 12, seed=1))["streets"])
+    return city.components(city.to_frames(spark, _TOWN)["streets"])
 
 
 @query()

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut_lineage
+
 KINDS = ("home", "workplace", "retail", "park")
 
 
@@ -134,7 +136,8 @@ def adjacency(streets: DataFrame) -> DataFrame:
 def components(streets: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(coord_x, coord_y, component) by spreading the smallest block number until nothing changes; an error if max_rounds are too few for that."""
     number = lambda x, y: F.col(x).cast("long") * (1 << 20) + F.col(y)
-    edges = adjacency(streets).select(number("src_x", "src_y").alias("a"), number("dst_x", "dst_y").alias("b")).cache()
+    edges = adjacency(streets).select(number("src_x", "src_y").alias("a"), number("dst_x", "dst_y").alias("b"))
+    edges = cut_lineage(edges)
     labels = streets.select("coord_x", "coord_y", number("coord_x", "coord_y").alias("n")).withColumn("component", F.col("n"))
     before = None
     for _ in range(max_rounds):
@@ -142,7 +145,7 @@ def components(streets: DataFrame, max_rounds: int = 1000) -> DataFrame:
         labels = labels.join(least, "n", "left").select("coord_x", "coord_y", "n", F.least("component", F.coalesce("m", "component")).alias("component"))
         # Jump to the component of the component.
         up = labels.select(F.col("n").alias("component"), F.col("component").alias("c2"))
-        labels = labels.join(up, "component").select("coord_x", "coord_y", "n", F.col("c2").alias("component")).checkpoint()
+        labels = cut_lineage(labels.join(up, "component").select("coord_x", "coord_y", "n", F.col("c2").alias("component")))
         now = labels.agg(F.sum("component")).first()[0]
         if now == before:
             return labels.select("coord_x", "coord_y", "component")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..columns import CANONICAL, ColumnMap
 from ..functions import geo
 from ..functions import time as t
+from ..functions.chance import share
 from ..operators.filters import compile_filters
 
 
@@ -93,30 +94,28 @@ def sort_trajectory(df: DataFrame, traj_cols: Mapping[str, str] | None = None, t
     return (df.repartition(user) if user else df).sortWithinPartitions(*keys)
 
 
-def _bucket(user: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(user.cast("string"), F.lit(seed)), F.lit(1_000_000))
-
-
 def sample_users(df: DataFrame, size: float, user_id: str = "user_id", seed: int = 0, within=None, coords: tuple[str, str] = ("x", "y")) -> DataFrame:
     """Distinct users: a share below 1 by a hash threshold, which needs no shuffle before the distinct; a number by hash order."""
     if within is not None:
         df = df.where(geo.is_within(F.col(coords[0]), F.col(coords[1]), within))
     users = df.select(user_id).where(F.col(user_id).isNotNull())
     if 0 < size < 1:
-        return users.where(_bucket(F.col(user_id), seed) < int(round(size * 1_000_000))).distinct()
-    return users.distinct().orderBy(F.xxhash64(F.col(user_id).cast("string"), F.lit(seed)), user_id).limit(int(size))
+        return users.where(share(seed, user_id) < size).distinct()
+    return users.distinct().orderBy(share(seed, user_id), user_id).limit(int(size))
 
 
 def sample_from(df: DataFrame, users: DataFrame | Iterable | None = None, frac_users: float | None = None, frac_records: float | None = None, seed: int = 0, user_id: str = "user_id", within=None, coords: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """Rows of given or sampled users, in a polygon, then a share of the records."""
+    """Rows of given or sampled users, in a polygon, then a share of the records: by a hash of all columns, so equal rows stay or go together."""
     if users is not None:
         known = users if isinstance(users, DataFrame) else df.sparkSession.createDataFrame([(u,) for u in users], [user_id])
         df = df.join(known.select(user_id).distinct(), user_id, "left_semi")
     if within is not None:
         df = df.where(geo.is_within(F.col(coords[0]), F.col(coords[1]), within))
     if frac_users is not None:
-        df = df.where(_bucket(F.col(user_id), seed) < int(round(frac_users * 1_000_000)))
-    return df.sample(fraction=frac_records, seed=seed) if frac_records is not None else df
+        df = df.where(share(seed, user_id) < frac_users)
+    if frac_records is not None:
+        df = df.where(share(seed, *(F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) for c in df.columns)) < frac_records)
+    return df
 
 
 def to_file(df: DataFrame, path: str, format: str = "parquet", output_cols: Mapping[str, str] | None = None, partition_by: Sequence[str] = (), use_offset: bool = False, mode: str = "overwrite", tz_offset: str = "tz_offset") -> None:
@@ -156,9 +155,15 @@ def load_layers(spark: SparkSession, path: str, names: Sequence[str]) -> dict[st
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of a GeoJSON file: properties as a map, polygons as array<struct<x,y>> of the outer ring."""
+    """Features of GeoJSON files, a row per polygon: properties as a map, part (number within its feature), ring and holes as array<struct<x,y>>.
+
+    A feature of another geometry, or of none, keeps one row without ring; geometry_type names its kind.
+    """
     raw = spark.read.text(path, wholetext=True)
-    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
-    feature = raw.select(F.explode(F.from_json("value", schema)["features"]).alias("f")).where("f.geometry.type = 'Polygon'")
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return feature.select(F.col("f.properties").alias("properties"), ring.alias("ring"))
+    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+    feature = raw.select(F.explode(F.from_json("value", schema)["features"]).alias("f")).select("f.properties", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("c"))
+    one, many = F.from_json("c", "array<array<array<double>>>"), F.from_json("c", "array<array<array<array<double>>>>")
+    polygons = F.when(F.col("geometry_type") == "Polygon", F.array(one)).when(F.col("geometry_type") == "MultiPolygon", many)
+    points = lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    rows = feature.select("properties", "geometry_type", F.posexplode_outer(polygons).alias("part", "rings"))
+    return rows.select("properties", "geometry_type", "part", points(F.col("rings")[0]).alias("ring"), F.transform(F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(0))), points).alias("holes"))

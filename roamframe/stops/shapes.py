@@ -53,9 +53,29 @@ def hull(points: np.ndarray) -> list[tuple[float, float]]:
     return chain(p) + chain(p[::-1])
 
 
+#: Parts of a place whose hulls are taken apart from each other.
+PARTS = 32
+
+
 def location_hulls(points: DataFrame, location: str = "location_id", coords: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """Per place the convex hull of its points; points are made distinct before they are gathered."""
-    distinct = points.where(F.col(location).isNotNull()).select(location, *coords).distinct()
+    """Per place the convex hull of its points.
+
+    Hulls are taken of what each batch of rows has of a place, then of those by parts of a place, then of the parts, so that no task gathers all points of a place.
+    """
+    rows = points.where(F.col(location).isNotNull()).select(location, *coords)
+
+    def corners(pdf):
+        import pandas as pd
+
+        parts = [(k, np.array(hull(x[list(coords)].to_numpy(float)), float).reshape(-1, 2)) for k, x in pdf.groupby(location, sort=False)]
+        out = pd.DataFrame(np.concatenate([h for _, h in parts]) if parts else np.empty((0, 2)), columns=list(coords))
+        out.insert(0, location, pd.Series([k for k, h in parts for _ in range(len(h))], dtype=pdf[location].dtype))
+        return out
+
+    kind = T.StructType([rows.schema[location], *[T.StructField(c, T.DoubleType()) for c in coords]])
+    batches = rows.mapInPandas(lambda batches: (corners(b) for b in batches), kind)
+    part = F.pmod(F.xxhash64(*coords), F.lit(PARTS))
+    distinct = batches.withColumn("__part", part).groupBy(location, "__part").applyInPandas(corners, kind)
 
     def of(pdf):
         import pandas as pd

@@ -1,13 +1,8 @@
-"""Queries over whole tables that have no SQL, against brute force."""
+"""Operators against brute force."""
 
-import math
 import random
 
-from pyspark.sql import functions as F
-
 from roamframe.operators import visits
-from roamframe.plans.inputs import stops
-from roamframe.plans.queries import QUERIES
 
 SIDES = "location_id long, x0 double, y0 double, x1 double, y1 double"
 
@@ -30,29 +25,3 @@ def test_box_overlap(spark):
     for size in (3.0, 10.0):
         got = visits.box_overlap(spark.createDataFrame(boxes, SIDES), size)
         assert sorted(r.location_id for r in got.collect()) == outer_boxes(boxes)
-
-
-def test_all_boxes(spark, sf, tmp_path):
-    """Customers beyond id 900 are boxes too."""
-    customers = spark.read.parquet(f"{sf}/customer.parquet").drop("c_custkey").limit(1).crossJoin(spark.range(880, 1300).withColumnRenamed("id", "c_custkey"))
-    customers.write.parquet(str(tmp_path / "customer.parquet"))
-    boxes = [(k, k % 30 + 0.0, k % 20 + 0.0, k % 30 + 1.5 + k % 4, k % 20 + 1.5 + k % 3) for k in range(880, 1300)]
-    assert sorted(r.location_id for r in QUERIES["overlaps_removed_all"](spark, str(tmp_path)).collect()) == outer_boxes(boxes)
-    want = [(i, x, y) for i, x0, y0, x1, y1 in boxes for x in range(math.floor(x0), math.ceil(x1)) for y in range(math.floor(y0), math.ceil(y1))]
-    got = QUERIES["intersecting_blocks_all"](spark, str(tmp_path)).select("location_id", "coord_x", "coord_y")
-    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and got.agg(F.max("location_id")).first()[0] == 1299
-
-
-def test_all_visits(spark, sf):
-    """Visits of three and more pings overlap too."""
-    found = [tuple(r) for r in stops(spark, sf).select("user_id", "location_id", "start_timestamp", "end_timestamp", "n_pings").collect()]
-    assert any(n > 2 for *_, n in found)
-    for name, match in (("overlapping_visits_matched_all", True), ("overlapping_visits_any_all", False)):
-        want = []
-        for u, place, s, e, _ in found:
-            for v, other, s2, e2, _ in found:
-                s2, e2 = s2 - 7200, e2 + 3600
-                if u == v and (place == other or not match) and s < e2 and s2 < e:
-                    want.append((u, place, other, s, e, s2, e2, (min(e, e2) - max(s, s2)) // 60))
-        got = QUERIES[name](spark, sf).select("user_id", "left_location", "right_location", "left_start", "left_end", "right_start", "right_end", "overlap")
-        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
