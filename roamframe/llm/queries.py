@@ -87,6 +87,16 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_simha
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+
+def _repeats_sql(length: int, name: str) -> str:
+    """The windows of length bytes that begin twice, as spans: (r, a, b), 1-based, b beyond."""
+    return f"""{name}_w as materialized (select r, i, md5(e[i:i + {length - 1}]) as x from (select r, e, unnest(range(1, n - {length - 2})) as i from d where n >= {length})),
+{name}_t as (select r, i from {name}_w where x in (select x from {name}_w group by x having count(*) > 1)),
+{name}_g as (select r, i, sum(new) over (partition by r order by i) as k from (select r, i, case when i - lag(i) over (partition by r order by i) <= {length} then 0 else 1 end as new from {name}_t)),
+{name} as (select r, min(i) as a, max(i) + {length} as b from {name}_g group by r, k)"""
+
+
 #: The others are out of reach of SQL: tests compare them with brute force, libraries or held-out labels.
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": f"""
@@ -105,4 +115,14 @@ words as (select r, count(distinct k) as n_hit from (select r, unnest(range(i, i
 items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, item from hit join bw using (x)) group by r)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (r) left join items using (r)""",
+    "op10_repeats": f"""
+with d as materialized (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as e, hex(e) as h, strlen(coalesce(text, '')) as n from documents),
+{_repeats_sql(repeats.LENGTH, 'cut')},
+{_repeats_sql(repeats.PASSAGE, 'low')},
+gaps as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 1) as from_ from cut),
+kept as (select r, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last, string_agg(h[2 * from_ - 1:2 * a - 2], '' order by a) as head from gaps join d using (r) group by r),
+shared as (select r, sum(b - a) as n_shared from low group by r)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, cast(coalesce(n_shared, 0) as bigint) as n_shared,
+sha256(unhex(case when last is null then h else head || h[2 * last - 1:] end)) as kept_sha256
+from d left join kept using (r) left join shared using (r)""",
 }
