@@ -8,7 +8,9 @@ holds a frequent word's followers alone. A shard merges its pieces and writes it
 Files are written under another name and renamed, so that a task may run again. Scoring maps the shards of the
 folder read-only and looks up each piece's words and bigrams in order of their hashes.
 
-The folder is the session's spark.checkpoint.dir; where it is not a mounted path, workers read a shard into memory when they need it.
+The folder is the session's spark.checkpoint.dir; where it is not a mounted path, workers read a shard into memory when they need it, and keep
+KEPT_BYTES of the shards that they used last. There are as many shards as spark.sql.shuffle.partitions, so that number bounds what a task merges: it has to
+grow with the input.
 
 Null and empty texts have the end token alone. With nothing to learn from, every token has probability 1. Repeated rows are all
 learnt from and all scored; further columns are not read.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import mmap
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +35,8 @@ from ._common import WHITE_TABLE, Words, as_bytes, chunks, mix, pair, partitions
 #: Text that a worker counts or scores at once, in bytes.
 PIECE_BYTES = 16 << 20
 SCORE_BYTES = 6 << 20
+#: Shards that a worker keeps where it cannot map them.
+KEPT_BYTES = 256 << 20
 END, BEGIN = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0xB0E0B0E0B0E0B0E3)
 
 
@@ -97,7 +102,7 @@ def _frequent(n: int):
     return run
 
 
-def _count(hot: np.ndarray, n: int):
+def _count(hot: np.ndarray, n: int, dealt: list[int]):
     """A piece's bigrams by shard: first words and how many follow each, following words, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +125,11 @@ def _count(hot: np.ndarray, n: int):
                 rows.append(s)
                 blobs.append((_pack(u[a:b][begin], run_length), _pack(v[a:b], count[a:b])))
             for a in range(0, len(rows), 16):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[a : a + 16], pa.int32()), pa.array([x for x, _ in blobs[a : a + 16]], pa.binary()), pa.array([x for _, x in blobs[a : a + 16]], pa.binary())], names=["shard", "first", "second"])
+                part = rows[a : a + 16]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([dealt[s] for s in part], pa.int32()), pa.array(part, pa.int32()), pa.array([x for x, _ in blobs[a : a + 16]], pa.binary()), pa.array([x for _, x in blobs[a : a + 16]], pa.binary())],
+                    names=["deal", "shard", "first", "second"],
+                )
 
     return run
 
@@ -136,6 +145,13 @@ def _write(folder: str, name: str, parts: list[bytes]) -> None:
     where.move(own, f"{path}/{name}")
 
 
+def _dealt(spark, n: int) -> list[int]:
+    """By shard a number that repartition(n) deals to that partition alone: plain shard numbers would meet by chance, several in one task and none in others."""
+    rows = spark.range(64 * n).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("s")).agg(F.min("k").alias("k")).collect()
+    found = {r["s"]: r["k"] for r in rows}
+    return [found.get(s, s) for s in range(n)]
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[list[bytes]]]]:
     """Rows sorted by shard, a shard at a time."""
     at, held = None, [[] for _ in columns]
@@ -164,7 +180,7 @@ def _bigram_file(key: np.ndarray, count: np.ndarray) -> list[bytes]:
     return [np.array([n, bits, len(large)], "<u8").tobytes(), start.tobytes(), large.astype("<u8").tobytes(), count[large].astype("<u8").tobytes(), low.tobytes(), np.minimum(count, 255).astype("u1").tobytes()]
 
 
-def _merge(folder: str, n: int):
+def _merge(folder: str, n: int, dealt: list[int]):
     """Writes a shard's bigrams; gives sums by word, packed by word shard, and counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +214,8 @@ def _merge(folder: str, n: int):
                 a, b = ends[s], ends[s + 1]
                 if b > a or not s:
                     data = _pack(word[a:b], *(x[a:b].astype("<u8" if i == 0 else "<u4") for i, x in enumerate(columns)))
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data], pa.binary()), pa.array([of_counts if not s else [0] * 4], pa.list_(pa.int64()))], names=["shard", "data", "of_counts"])
+                    columns_ = [pa.array([dealt[s]], pa.int32()), pa.array([s], pa.int32()), pa.array([data], pa.binary()), pa.array([of_counts if not s else [0] * 4], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns_, names=["deal", "shard", "data", "of_counts"])
 
     return run
 
@@ -264,9 +281,10 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
     # A word over that share in all has it in some piece. The list, of at most 4n words, only serves balance.
     hot_rows = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(4 * n).collect()
     hot = np.sort(np.array([r["word"] for r in hot_rows], np.int64).view(np.uint64))
-    pieces = rows.mapInArrow(_count(hot, n), "shard int, first binary, second binary")
-    merged = pieces.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_merge(folder, n), "shard int, data binary, of_counts array<long>")
-    summary = merged.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_words(folder), _SUMMARY).collect()
+    dealt = _dealt(spark, n)
+    pieces = rows.mapInArrow(_count(hot, n, dealt), "deal int, shard int, first binary, second binary")
+    merged = pieces.repartition(n, "deal").sortWithinPartitions("shard").mapInArrow(_merge(folder, n, dealt), "deal int, shard int, data binary, of_counts array<long>")
+    summary = merged.repartition(n, "deal").sortWithinPartitions("shard").mapInArrow(_words(folder), _SUMMARY).collect()
     of_counts = [sum(r["of_counts"][k] for r in summary) for k in range(4)]
     of_left = [sum(r["of_left"][k] for r in summary) for k in range(4)]
     return Model(folder, n, hot, frozenset(r["shard"] for r in summary), sum(r["tokens"] for r in summary), sum(r["distinct"] for r in summary), sum(r["types"] for r in summary), discounts(of_counts), discounts(of_left), tuple(of_left))
@@ -329,14 +347,28 @@ class Bigrams:
 
 
 class Reader:
-    """A model as a worker sees it; shards are opened when first needed."""
+    """A model as a worker sees it; shards are opened when needed."""
 
     def __init__(self, model: Model):
         self.m = model
-        self.bigrams: dict[int, Bigrams] = {}
-        self.words: dict[int, list[np.ndarray]] = {}
+        self.opened: OrderedDict[str, tuple[int, object]] = OrderedDict()
         self.ends = int(self.lookup(np.array([END]))[0][0])
 
+    def shard(self, name: str, parse):
+        """A parsed shard. Mapped ones are the system's to page out; of those in memory the longest unused go once they are over KEPT_BYTES."""
+        if name in self.opened:
+            self.opened.move_to_end(name)
+            return self.opened[name][1]
+        data = _read(self.m.folder, name)
+        size = 0 if isinstance(data.obj, mmap.mmap) else len(data)
+        held = sum(x for x, _ in self.opened.values())
+        for old in [k for k, (x, _) in self.opened.items() if x] if size else []:
+            if held + size <= KEPT_BYTES:
+                break
+            held -= self.opened.pop(old)[0]
+        self.opened[name] = (size, parse(data))
+        return self.opened[name][1]
+
     def lookup(self, word: np.ndarray) -> np.ndarray:
         """word sorted and distinct. Rows: token count, left neighbours, followers seen once, twice, more often."""
         m = self.m
@@ -346,9 +378,7 @@ class Reader:
             a, b = ends[s], ends[s + 1]
             if b == a or s not in m.word_shards:
                 continue
-            if s not in self.words:
-                self.words[s] = _unpack(_read(m.folder, f"words-{s}"), *_WORD_KINDS)
-            known, *columns = self.words[s]
+            known, *columns = self.shard(f"words-{s}", lambda data: _unpack(data, *_WORD_KINDS))
             if not len(known):
                 continue
             at = np.minimum(np.searchsorted(known, word[a:b]), len(known) - 1)
@@ -367,9 +397,7 @@ class Reader:
         for s in range(m.shards):
             own = order[ends[s] : ends[s + 1]]
             if len(own):
-                if s not in self.bigrams:
-                    self.bigrams[s] = Bigrams(_read(m.folder, f"bigrams-{s}"))
-                out[own] = self.bigrams[s].find(key[own])
+                out[own] = self.shard(f"bigrams-{s}", Bigrams).find(key[own])
         return out
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:

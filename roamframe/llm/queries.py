@@ -64,7 +64,7 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_remainder("doc_id", 10) == 0, F.lit(False))
     model = lm.train(docs.where(~held_out))
     scored = lm.score(docs, model)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,22 @@ def _repeats_sql(length: int, name: str) -> str:
 {name} as (select r, min(i) as a, max(i) + {length} as b from {name}_g group by r, k)"""
 
 
+_WHITE = r"[^\x20\x09-\x0D]+"
+
+
+def _crc_sql(col: str) -> str:
+    """CRC-32 of a column's ASCII text, bit by bit."""
+    bits = f"flatten([[ascii(c), 0, 0, 0, 0, 0, 0, 0] for c in string_split(cast({col} as varchar), '')])"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}::bigint[]), lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1))), 4294967295)"
+
+
+def _discounts_sql(n: str, d: str) -> str:
+    """Three discounts from numbers of types seen once to four times."""
+    y = f"({n}1 / ({n}1 + 2 * {n}2))"
+    known = f"{n}1 > 0 and {n}2 > 0 and {n}3 > 0 and {n}4 > 0"
+    return ", ".join(f"case when {known} then least(greatest({k} - {k + 1} * {y} * {n}{k + 1} / {n}{k}, 0), {k}) else 0.5 end as {d}{k}" for k in (1, 2, 3))
+
+
 #: The others are out of reach of SQL: tests compare them with brute force, libraries or held-out labels.
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": f"""
@@ -125,4 +141,27 @@ shared as (select r, sum(b - a) as n_shared from low group by r)
 select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, cast(coalesce(n_shared, 0) as bigint) as n_shared,
 sha256(unhex(case when last is null then h else head || h[2 * last - 1:] end)) as kept_sha256
 from d left join kept using (r) left join shared using (r)""",
+    "op8_language_model": f"""
+with d as materialized (select r, doc_id, w, coalesce({_crc_sql('doc_id')} % 10 = 0, false) as held_out from (select row_number() over () as r, doc_id, list_append(regexp_extract_all({_LOWER}, '{_WHITE}'), chr(1)) as w from documents)),
+tok as materialized (select r, held_out, w[i] as v, case when i = 1 then chr(2) else w[i - 1] end as u from (select r, held_out, w, unnest(range(1, len(w) + 1)) as i from d)),
+bi as materialized (select u, v, count(*) as c from tok where not held_out group by u, v),
+uni as materialized (select v, sum(c) as c, count(*) as l from bi group by v),
+ctx as materialized (select u, sum(c) as total, count(*) filter (c = 1) as n1, count(*) filter (c = 2) as n2, count(*) filter (c > 2) as n3 from bi group by u),
+n as (select coalesce(sum(c), 0) as tokens, count(*) as vocab, coalesce(sum(l), 0) as types, count(*) filter (l = 1) as l1, count(*) filter (l = 2) as l2, count(*) filter (l = 3) as l3, count(*) filter (l = 4) as l4 from uni),
+b as (select count(*) filter (c = 1) as b1, count(*) filter (c = 2) as b2, count(*) filter (c = 3) as b3, count(*) filter (c = 4) as b4 from bi),
+p as materialized (select tokens, vocab, types, l1, l2, {_discounts_sql('b', 'd')}, {_discounts_sql('l', 'e')} from n, b),
+t as (
+    select tok.r, coalesce(uni.c, 0) as c, coalesce(uni.l, 0) as l, coalesce(bi.c, 0) as seen, coalesce(ctx.total, 0) as total, n1, n2, n3
+    from tok left join uni on tok.v = uni.v left join bi on tok.u = bi.u and tok.v = bi.v left join ctx on tok.u = ctx.u
+),
+x as (
+    select t.*, p.*, case when types > 0 then (l - case least(l, 3) when 0 then 0 when 1 then e1 when 2 then e2 else e3 end) / types + (e1 * l1 + e2 * l2 + e3 * (vocab - l1 - l2)) / types / (vocab + 1) else 1.0 / (vocab + 1) end as low,
+    case when total > 0 then (d1 * n1 + d2 * n2 + d3 * n3) / total else 1 end as gamma, case when seen = 0 then 0 when seen = 1 then d1 when seen = 2 then d2 else d3 end as off
+    from t, p
+),
+s as (
+    select r, count(*) as n_tokens, count(*) filter (c > 0) as n_known, sum(log10((c + 0.1) / (tokens + 0.1 * (vocab + 1)))) as base_score, sum(log10((seen - off) / greatest(total, 1) + gamma * low)) as score
+    from x group by r
+)
+select doc_id, held_out, n_tokens, n_known, cast(tokens as bigint) as train_tokens, round(base_score, 6) as base_score, round(score, 6) as score from d join s using (r), p""",
 }
