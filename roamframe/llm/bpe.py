@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,8 @@ LEAF_BYTES = 4096
 LONG_CHARS = 1 << 16
 #: Text whose ids and decoded texts a task holds at once; a larger text is taken alone.
 SLICE_BYTES = 1 << 20
-_MEMO = 200_000
+#: Pre-tokens that a worker remembers.
+_MEMO = 400_000
 _BREAK = re.compile(r"\S(?=\s)")
 
 
@@ -44,9 +46,10 @@ class Codec:
         self.memo: dict[str, bytes] = {}
         vocab = self.split.library.get_vocab(with_added_tokens=True)
         self.special = {x: np.array([i], "<u4").tobytes() for x, i in self.split.special.items()}
-        self.token: list[bytes] = [b""] * (max(vocab.values()) + 1)
+        token: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for x, i in vocab.items():
-            self.token[i] = x.encode() if x in self.special else bytes(LETTER_BYTES[ord(c)] for c in x)
+            token[i] = x.encode() if x in self.special else bytes(LETTER_BYTES[ord(c)] for c in x)
+        self.token = pa.array(token, pa.large_binary())
 
     def merge(self, spelled: list[str]) -> list[list[int]]:
         return [x.ids for x in self.split.model.encode_batch_fast(spelled, add_special_tokens=False)]
@@ -56,7 +59,11 @@ class Codec:
         return np.array(self.merge([raw.decode("latin-1").translate(_BYTES)])[0], "<u4")
 
     def raw(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids.tolist()))
+        """The bytes of tokens, one after another: what a gathered column holds."""
+        if not len(ids):
+            return b""
+        _, offsets, data = self.token.take(pa.array(ids)).buffers()
+        return data[: int(np.frombuffer(offsets, "<i8", 1, 8 * len(ids))[0])].to_pybytes() if data else b""
 
     def join(self, left: np.ndarray, right: np.ndarray, window: int = 4) -> np.ndarray:
         """The ids of two encoded neighbours, from a window around their join that grows until both sides agree."""
@@ -84,18 +91,16 @@ class Codec:
 
     def ids(self, pieces: list[str]) -> bytes:
         """The ids of pre-tokens, one after another."""
-        try:
-            return b"".join(map(self.memo.__getitem__, pieces))
-        except KeyError:
-            pass
         if len(self.memo) > _MEMO:
             self.memo.clear()
-        new = [x for x in dict.fromkeys(pieces) if x not in self.memo]
-        short = [x for x in new if len(x) <= LEAF_BYTES // 4]
-        for x, ids in zip(short, self.merge([letters(x) for x in short]), strict=True):
-            self.memo[x] = np.array(ids, "<u4").tobytes()
-        long = {x: self.piece(x) for x in new if len(x) > LEAF_BYTES // 4}
-        return b"".join([self.memo[x] if x in self.memo else long[x] for x in pieces])
+        new = list(set(pieces).difference(self.memo))
+        if new:
+            short = [x for x in new if len(x) <= LEAF_BYTES // 4]
+            self.memo.update(zip(short, [array("I", x).tobytes() for x in self.merge([letters(x) for x in short])], strict=True))
+            if len(short) < len(new):
+                long = {x: self.piece(x) for x in new if len(x) > LEAF_BYTES // 4}
+                return b"".join([long[x] if x in long else self.memo[x] for x in pieces])
+        return b"".join(map(self.memo.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         out = []
