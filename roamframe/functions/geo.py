@@ -177,6 +177,38 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
     return F.array_min(F.transform(edges, away))
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value), the value worked out once: a lambda's variable stands for it, where nested expressions would repeat it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _clip_half(ring: Column, keep, cross) -> Column:
+    """A closed ring without what lies beyond one line. keep(p): p stays; cross(a, b): where an edge meets the line."""
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def points(r: Column) -> Column:
+        def edge(i: Column) -> Column:
+            a, b = F.element_at(r, i.cast("int")), F.element_at(r, (i + 1).cast("int"))
+            return F.concat(F.when(keep(a) != keep(b), F.array(cross(a, b))).otherwise(none), F.when(keep(b), F.array(b)).otherwise(none))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(r) - 1), edge))
+
+    closed = lambda q: F.when(F.size(q) > 2, F.concat(F.slice(q, -1, 1), q))
+    return _bound(ring, lambda r: F.when(r.isNotNull(), _bound(points(r), closed)))
+
+
+def clip_ring(ring: Column, box: tuple[float, float, float, float]) -> Column:
+    """The part of a closed ring (array<struct<x,y>>) in a box (x0, y0, x1, y1), closed; null if nothing of it is. Parts of a hollow ring stay joined along the box."""
+    x0, y0, x1, y1 = map(float, box)
+    at_x = lambda x: lambda a, b: F.struct(F.lit(x).alias("x"), (a["y"] + (b["y"] - a["y"]) * ((F.lit(x) - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0)))).alias("y"))
+    at_y = lambda y: lambda a, b: F.struct((a["x"] + (b["x"] - a["x"]) * ((F.lit(y) - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)))).alias("x"), F.lit(y).alias("y"))
+    for keep, cross in (
+        (lambda p: p["x"] >= x0, at_x(x0)), (lambda p: p["x"] <= x1, at_x(x1)), (lambda p: p["y"] >= y0, at_y(y0)), (lambda p: p["y"] <= y1, at_y(y1)),
+    ):
+        ring = _clip_half(ring, keep, cross)
+    return ring
+
+
 def blocks_to_mercator(x: Column, y: Column, block: float = 15.0, false_easting: float = 0.0, false_northing: float = 0.0, rotation_deg: float = 0.0) -> tuple[Column, Column]:
     """City blocks to metres: scale, shift, then turn about the origin."""
     u, v = x * block + false_easting, y * block + false_northing

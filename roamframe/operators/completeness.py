@@ -61,3 +61,16 @@ def completeness(df: DataFrame, periods: int = 1, freq: str = "h", agg_freq: str
     big = t.step_seconds(1, agg_freq)
     matrix = coverage_matrix(df, periods, freq, start, end, relative, traj_cols, **given)
     return matrix.groupBy(cols["user_id"], (t.bin_of(F.col("bucket"), big) * big).alias("period")).agg(F.avg("hit").alias("completeness"))
+
+
+def approximate_counts(df: DataFrame, user_id: str = "user_id", rsd: float = 0.05) -> DataFrame:
+    """One row: the number of rows, and of users within a relative standard deviation, from a sketch of constant size."""
+    return df.agg(F.count("*").alias("n_rows"), F.approx_count_distinct(user_id, rsd).alias("n_users"))
+
+
+def pings_per_hour(df: DataFrame, user_id: str = "user_id", time: str = "timestamp", wide: bool = False) -> DataFrame:
+    """Pings by user and hour of the record (Unix hour); wide: by user, a column for each hour of the day, 0 where there are none."""
+    hours = df.select(user_id, F.floor(F.col(time) / 3600).cast("long").alias("hour"))
+    if not wide:
+        return hours.groupBy(user_id, "hour").agg(F.count("*").alias("n"))
+    return hours.groupBy(user_id).agg(*[F.count(F.when(F.pmod("hour", F.lit(24)) == h, 1)).alias(f"h{h:02d}") for h in range(24)])

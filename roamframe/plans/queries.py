@@ -11,7 +11,7 @@ from ..functions import geo
 from ..functions import time as t
 from ..operators import completeness as cov
 from ..operators import contacts as con
-from ..operators import filters, home, metrics, od, stop_tables, validation, visits
+from ..operators import filters, home, metrics, od, stop_tables, tags, validation, visits
 from ..operators.intervals import interval_join
 from ..sim import agents, city
 from ..sources import io
@@ -593,6 +593,11 @@ def ta_dbscan_overlapping(spark, sf):
     return runner.ta_dbscan_labels(pings(spark, sf), 300, 2, 2880, remove_overlaps=False, tiebreak=["ping_id"]).select("ping_id", "cluster")
 
 
+@query(f"{_TA}, since AS (SELECT user_id, i, t FROM run UNION ALL SELECT p.user_id, p.i, min(run.t) FROM placed p JOIN nb ON nb.user_id = p.user_id AND nb.j = p.i JOIN run ON run.user_id = nb.user_id AND run.i = nb.i AND run.k = p.k LEFT JOIN core c ON c.user_id = p.user_id AND c.i = p.i WHERE c.i IS NULL GROUP BY 1, 2) SELECT ping_id, t AS promotion_time FROM o LEFT JOIN since USING (user_id, i)")
+def ta_dbscan_promotions(spark, sf):
+    return runner.ta_dbscan_labels(pings(spark, sf), 300, 2, 2880, return_cores=True, tiebreak=["ping_id"]).select("ping_id", "promotion_time")
+
+
 @query()
 def dbstop_stops(spark, sf):
     return runner.stops_of(runner.dbstop_labels(pings(spark, sf), 300, 2, 2880, tiebreak=["ping_id"]), dur_min=5)
@@ -631,6 +636,46 @@ def intersecting_blocks(spark, sf):
     return visits.blocks_in_boxes(_boxes(spark, sf))
 
 
+_KINDS = "CASE c_custkey % 4 WHEN 0 THEN 'street' WHEN 1 THEN 'park' WHEN 2 THEN 'home' ELSE 'shed' END"
+
+
+@query(
+    f"""WITH {_BOXES}, c AS (SELECT location_id, {_KINDS.replace("c_custkey", "location_id")} AS kind, y0, y1, unnest(range(CAST(floor(x0) AS BIGINT), CAST(ceil(x1) AS BIGINT))) AS coord_x FROM boxes),
+ d AS (SELECT location_id, kind, coord_x, unnest(range(CAST(floor(y0) AS BIGINT), CAST(ceil(y1) AS BIGINT))) AS coord_y FROM c)
+ SELECT coord_x, coord_y, kind, location_id FROM d QUALIFY row_number() OVER (PARTITION BY coord_x, coord_y ORDER BY CASE kind WHEN 'street' THEN 1 WHEN 'home' THEN 2 WHEN 'park' THEN 3 ELSE 4 END, kind, location_id) = 1"""
+)
+def raster_blocks(spark, sf):
+    kinds = F.element_at(F.array(*map(F.lit, ("street", "park", "home", "shed"))), (F.col("location_id") % 4 + 1).cast("int"))
+    return visits.raster_blocks(_boxes(spark, sf).withColumn("kind", kinds), ["street", "home", "park"])
+
+
+#: Names of parts as tags: colours and materials stand for kinds of places.
+_TAGS = {"building": {"red": "green", "cold": "green"}, "amenity": {"widget": "food", "gear": "water", "bolt": "water"}, "leisure": {"ring": "light"}}
+_CATEGORIES = {"green": "nature", "water": "nature", "food": "retail", "parking": "transport"}
+
+
+@query(
+    """WITH w AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part), t AS (SELECT p_partkey, w[1] AS building, w AS a, w[2] AS leisure FROM w), s AS (SELECT *, list_filter(a, lambda v: v IN ('widget', 'gear', 'bolt')) AS g FROM t),
+ k AS (SELECT *, CASE WHEN building IN ('red', 'cold') THEN building WHEN len(g) > 0 THEN g[1] WHEN leisure IS NOT NULL THEN leisure ELSE 'unknown' END AS osm_type,
+ CASE WHEN building IN ('red', 'cold') THEN 'green' WHEN len(g) > 0 THEN CASE g[1] WHEN 'widget' THEN 'food' ELSE 'water' END WHEN leisure = 'ring' THEN 'light' ELSE 'unknown' END AS subtype FROM s)
+ SELECT p_partkey, osm_type, subtype, CASE subtype WHEN 'green' THEN 'nature' WHEN 'water' THEN 'nature' WHEN 'food' THEN 'retail' ELSE 'other' END AS category FROM k"""
+)
+def tag_kinds(spark, sf):
+    words = F.split(F.lower("p_name"), " ")
+    features = table(spark, sf, "part").select("p_partkey", words[0].alias("building"), F.concat_ws(";", words).alias("amenity"), F.get(words, F.lit(1)).alias("leisure"))
+    return tags.classify(features, _TAGS, _CATEGORIES).select("p_partkey", "osm_type", "subtype", "category")
+
+
+@query(f"WITH {PINGS} SELECT user_id, timestamp // 3600 AS hour, count(*) AS n FROM pings GROUP BY 1, 2")
+def pings_per_hour(spark, sf):
+    return cov.pings_per_hour(pings(spark, sf))
+
+
+@query(f"WITH {PINGS} SELECT user_id, {', '.join(f'count(*) FILTER (timestamp // 3600 % 24 = {h}) AS h{h:02d}' for h in range(24))} FROM pings GROUP BY 1")
+def pings_by_hour_of_day(spark, sf):
+    return cov.pings_per_hour(pings(spark, sf), wide=True)
+
+
 @query()
 def city_blocks(spark, sf):
     return city.to_frames(spark, city.random_city(20, 20, seed=1))["blocks"]

@@ -153,6 +153,13 @@ def components(streets: DataFrame, max_rounds: int = 1000) -> DataFrame:
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
+def largest_component(streets: DataFrame) -> DataFrame:
+    """The street blocks of the largest component (the smallest number of equal ones), which a city keeps."""
+    found = components(streets)
+    top = found.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return found.join(F.broadcast(top.select("component")), "component", "left_semi").select("coord_x", "coord_y")
+
+
 def gravity(buildings: DataFrame, exponent: float = 2.0, n_hubs: int | None = None) -> DataFrame:
     """(origin, dest, gravity): 1 / distance ** exponent of doors, Manhattan, at least 1; 0 to itself.
 

@@ -105,6 +105,16 @@ def neighbours(t, p, geographic, dist_thresh, time_thresh) -> list[np.ndarray]:
     return out
 
 
+def promotion(t, p, geographic, dist_thresh, time_thresh, labels, cores):
+    """When each ping became a member: a core at its own time, another one at the time of the first core of its stop that is near it; -1 for noise."""
+    out = np.where(cores >= 0, t, -1)
+    for i, near in enumerate(neighbours(t, p, geographic, dist_thresh, time_thresh)):
+        if labels[i] >= 0 > cores[i]:
+            own = near[cores[near] == labels[i]]
+            out[i] = t[own[0]] if len(own) else -1
+    return out
+
+
 def ta_dbscan(t, p, geographic, dist_thresh, min_pts, time_thresh, remove_overlaps=True):
     """Density clusters in space and time, cut so that stops do not overlap. Gives labels and core labels."""
     near = neighbours(t, p, geographic, dist_thresh, time_thresh)

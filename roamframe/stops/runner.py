@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import ColumnMap
@@ -75,13 +76,21 @@ def _merge_places(t, p, geographic, labels, dt_max, eps):
     return np.where(labels < 0, -1, number[np.maximum(labels, 0)])
 
 
-_CORES = [("core", T.LongType())]
+#: With cores: the stop that a ping is a core of (-1: none), and when it became a member, in Unix seconds.
+_CORES = [("core", T.LongType()), ("promotion_time", T.LongType())]
+
+
+def _with_promotion(t, p, g, dist_thresh, time_thresh, found):
+    import pandas as pd
+
+    since = pd.Series(kernels.promotion(t, p, g, dist_thresh, time_thresh, *found), dtype="Int64")
+    return (*found, since.mask(since < 0).array)
 
 
 def ta_dbscan_labels(pings: DataFrame, dist_thresh: float, min_pts: int, time_thresh: float, return_cores: bool = False, remove_overlaps: bool = True, **names) -> DataFrame:
     def label(t, p, g):
         found = kernels.ta_dbscan(t, p, g, dist_thresh, min_pts, time_thresh, remove_overlaps)
-        return found if return_cores else found[0]
+        return _with_promotion(t, p, g, dist_thresh, time_thresh, found) if return_cores else found[0]
 
     return per_user(pings, label, _CORES if return_cores else (), **names)
 
@@ -89,7 +98,7 @@ def ta_dbscan_labels(pings: DataFrame, dist_thresh: float, min_pts: int, time_th
 def dbstop_labels(pings: DataFrame, dist_thresh: float, min_pts: int, time_thresh: float, return_cores: bool = False, **names) -> DataFrame:
     def label(t, p, g):
         found = kernels.dbstop(t, p, g, dist_thresh, min_pts, time_thresh)
-        return found if return_cores else found[0]
+        return _with_promotion(t, p, g, dist_thresh, time_thresh, found) if return_cores else found[0]
 
     return per_user(pings, label, _CORES if return_cores else (), **names)
 
@@ -97,7 +106,7 @@ def dbstop_labels(pings: DataFrame, dist_thresh: float, min_pts: int, time_thres
 def seqscan_labels(pings: DataFrame, dist_thresh: float, min_pts: int = 3, time_thresh: float = 90, dur_min: float = 5, back_merge: bool = False, return_cores: bool = False, **names) -> DataFrame:
     def label(t, p, g):
         found = kernels.seqscan(t, p, g, dist_thresh, min_pts, time_thresh, dur_min, back_merge)
-        return found if return_cores else found[0]
+        return _with_promotion(t, p, g, dist_thresh, time_thresh, found) if return_cores else found[0]
 
     return per_user(pings, label, _CORES if return_cores else (), **names)
 
@@ -107,7 +116,7 @@ def hdbscan_labels(pings: DataFrame, time_thresh: float, min_pts: int = 2, min_c
         found = hdbscan.st_hdbscan(t, p, g, time_thresh, min_pts, min_cluster_size, dur_min, delta_roam, dist_thresh)
         return found if return_cores else found[0]
 
-    return per_user(pings, label, _CORES if return_cores else (), **names)
+    return per_user(pings, label, _CORES[:1] if return_cores else (), **names)
 
 
 def dbscan(p: np.ndarray, geographic: bool, epsilon: float, min_pts: int) -> np.ndarray:
@@ -159,6 +168,14 @@ def detect_locations(points: DataFrame, epsilon: float = 100, min_pts: int = 1,
     return out.withColumn("location_id", out["cluster"].cast("string")).drop("cluster").select(*[c for c in points.columns if c != "location_id"], "location_id")
 
 
+def location_summary(located: DataFrame, by: Sequence[str] = ("user_id", "location_id"), coords: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """Of each place that detect_locations found: number of rows, centre, and extent, the largest distance of a row from the centre."""
+    x, y = coords
+    centre = located.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("center_x"), F.avg(y).alias("center_y"))
+    away = F.hypot(F.col(x) - F.col("center_x"), F.col(y) - F.col("center_y"))
+    return located.join(centre, list(by)).groupBy(*by, "n", "center_x", "center_y").agg(F.max(away).alias("extent"))
+
+
 def merge(stops_or_pings: DataFrame, max_gap_min: float, method: str = "stops", algorithm: Callable | None = None, **kwargs) -> DataFrame:
     """Merge stops, or run a custom function over the table."""
     if method == "custom":

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -10,7 +11,7 @@ from roamframe.functions import time as t
 from roamframe.operators import completeness, contacts, home, metrics, od, stop_tables, validation, visits
 from roamframe.sim import agents, city
 from roamframe.sources import io
-from roamframe.stops import kernels, runner
+from roamframe.stops import kernels, runner, shapes
 from roamframe.stops.hdbscan import st_hdbscan
 
 
@@ -210,3 +211,89 @@ def test_files_round_trip(spark, tmp_path):
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(timestamp), GreaterThan(timestamp" in plan
     assert set(io.table_columns(spark, str(tmp_path / "p"))) == set(df.columns)
+
+
+def test_clip_ring(spark):
+    ring = "array<struct<x:double,y:double>>"
+    shapes_ = {
+        "inside": [(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)], "across": [(-2, 1), (2, 1), (2, 3), (-2, 3), (-2, 1)], "outside": [(11, 11), (12, 11), (12, 12), (11, 11)],
+        "around": [(-5, -5), (15, -5), (15, 15), (-5, 15), (-5, -5)], "corner": [(-4, 2), (4, 10), (-4, 18), (-4, 2)],
+    }
+    df = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in v]) for k, v in shapes_.items()], f"id string, ring {ring}")
+    got = {r.id: r.ring for r in df.select("id", geo.clip_ring(F.col("ring"), (0, 0, 10, 10)).alias("ring")).collect()}
+
+    def area(points):
+        return abs(sum(a.x * b.y - b.x * a.y for a, b in zip(points, points[1:], strict=False))) / 2
+
+    assert got["outside"] is None and all(r[0] == r[-1] for r in got.values() if r)
+    assert {k: area(r) for k, r in got.items() if r} == pytest.approx({"inside": 4, "across": 4, "around": 100, "corner": 8})
+
+
+def test_tags(spark):
+    from roamframe.operators import tags
+
+    subtypes = {"building": {"house": "residential", "yes": "never"}, "amenity": {"cafe": "food", "school": "education", "bar": "food", "parking": "parking"}, "leisure": {"park": "park"}, "tourism": {"hotel": "lodging"}, "shop": {"bakery": "food"}}
+    categories = {"residential": "home", "food": "retail", "education": "school", "park": "open", "parking": "transport"}
+    cols = ["building", "amenity", "leisure", "tourism", "shop", "height", "landuse"]
+    cases = [
+        ((" House ", "cafe", None, None, None, None, None), ("house", "residential", "home", "food", None)),
+        (("parking", "cafe", None, None, None, None, None), ("parking", "parking", "transport", "food", None)),
+        (("yes", "parking; Cafe|school,bar", None, None, None, None, None), ("cafe", "food", "retail", "education", None)),
+        (("yes", "parking", "park", None, None, None, None), ("parking", "parking", "transport", None, None)),
+        ((None, "unheard", "pitch", "hotel", None, None, None), ("pitch", "unknown", "other", None, None)),
+        ((None, None, None, "zoo", "bakery", None, None), ("bakery", "food", "retail", None, None)),
+        ((None, None, None, "hotel", "bakery", None, None), ("hotel", "lodging", "other", None, None)),
+        ((None,) * 7, ("unknown", "unknown", "other", None, None)),
+        (("yes", None, None, None, None, "9.5", None), ("unknown", "unknown", "other", None, None)),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "id int, " + ", ".join(f"{c} string" for c in cols))
+    got = tags.classify(df, subtypes, categories).orderBy("id").select("osm_type", "subtype", "category", "subtype_2", "subtype_3").collect()
+    assert [tuple(r) for r in got] == [want for _, want in cases]
+    homes = spark.createDataFrame([("yes", "9.5", "x"), ("yes", "30", "x"), ("yes", "tall", "x"), ("yes", "5", None)], "building string, height string, `addr:unit` string")
+    assert [r.subtype for r in tags.classify(homes, subtypes, categories, infer_homes=True).collect()] == ["residential", "unknown", "unknown", "unknown"]
+    assert rows(tags.summary(tags.classify(df, subtypes, categories)), "category", "n")[0] == ("home", 1)
+
+
+def test_geojson_keeps_every_feature(spark, tmp_path):
+    square = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    features = [("Polygon", [square(0, 9), square(2, 3)]), ("MultiPolygon", [[square(0, 1)], [square(5, 8), square(6, 7)]]), ("Point", [1, 2]), ("LineString", [[0, 0], [1, 1]])]
+    text = json.dumps({"type": "FeatureCollection", "features": [{"properties": {"name": k}, "geometry": {"type": k, "coordinates": c}} for k, c in features]})
+    (tmp_path / "x.geojson").write_text(text)
+    got = io.read_geojson(spark, str(tmp_path / "x.geojson")).collect()
+    found = sorted((r.geometry_type, r.part, r.ring and len(r.ring), r.holes and len(r.holes)) for r in got if r.ring)
+    assert found == [("MultiPolygon", 0, 5, []), ("MultiPolygon", 1, 5, 1), ("Polygon", 0, 5, 1)]
+    assert sorted(r.geometry_type for r in got if not r.ring) == ["LineString", "Point"]
+
+
+def test_hulls_of_hulls(spark):
+    rng = np.random.default_rng(5)
+    p = rng.integers(0, 60, (3000, 2)).astype(float)
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(x), float(y)) for i, (x, y) in enumerate(p)] + [("c", 1.0, 1.0), ("c", 1.0, 1.0), (None, 0.0, 0.0)], "location_id string, x double, y double").repartition(7)
+    got = {r.location_id: [(q.x, q.y) for q in r.ring] for r in shapes.location_hulls(df).collect()}
+    assert got == {"a": shapes.hull(p[np.arange(3000) % 3 > 0]), "b": shapes.hull(p[np.arange(3000) % 3 == 0]), "c": [(1.0, 1.0)]}
+
+
+def test_places_and_streets(spark):
+    points = spark.createDataFrame([("u", k, x, 0.0) for k, x in enumerate((0.0, 3.0, 100.0))], "user_id string, timestamp long, x double, y double")
+    found = runner.location_summary(runner.detect_locations(points, 5.0))
+    assert rows(found, "location_id", "n", "center_x", "extent") == [("0", 2, 1.5, 1.5), ("1", 1, 100.0, 0.0)]
+    streets = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (9, 9), (9, 8)], "coord_x int, coord_y int")
+    assert rows(city.largest_component(streets), "coord_x", "coord_y") == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_degrees_and_many_polygons(spark):
+    """Places a few hundredths of a degree wide get cells of their own size."""
+    boxes = {f"p{i}": f"POLYGON(({i / 100} 50, {i / 100 + 0.008} 50, {i / 100 + 0.008} 50.01, {i / 100} 50.01, {i / 100} 50))" for i in range(200)}
+    points = spark.createDataFrame([(i, i / 100 + 0.004, 50.005) for i in range(200)] + [(999, 7.0, 7.0), (1000, None, 1.0)], "ping_id long, x double, y double")
+    for most in (visits.MAX_CELLS, 0):
+        visits.MAX_CELLS, kept = most, visits.MAX_CELLS
+        got = dict(rows(visits.poi_map(points, visits.poi_layer(spark, boxes)), "ping_id", "location_id"))
+        visits.MAX_CELLS = kept
+        assert got == {i: f"p{i}" for i in range(200)} | {999: None, 1000: None}
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(3000).select((F.col("id") % 300).alias("user_id"), "id")
+    one, two = (rows(io.sample_from(df.repartition(n), frac_users=0.5, frac_records=0.3, seed=2), "user_id", "id") for n in (1, 6))
+    assert one == two and 300 < len(one) < 600
+    assert len(rows(io.sample_users(df, 7), "user_id")) == 7
