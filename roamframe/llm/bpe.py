@@ -191,9 +191,9 @@ _TYPES = {
 }
 
 
-def _rows(schema: str, ids: list, found: list[tuple]) -> pa.RecordBatch:
-    kinds = [("id", pa.int64()), *_TYPES[schema]]
-    columns = [ids, *([x[i] for x in found] for i in range(len(kinds) - 1))]
+def _rows(schema: str, found: list[tuple], *keys: tuple[str, list]) -> pa.RecordBatch:
+    kinds = [*((name, pa.int64()) for name, _ in keys), *_TYPES[schema]]
+    columns = [*(x for _, x in keys), *([x[i] for x in found] for i in range(len(_TYPES[schema])))]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
 
@@ -203,7 +203,7 @@ def _whole_texts(path: str, keep, schema: str):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 found = [keep(code, code.encode(raw.decode())) for raw in as_bytes(part["text"])]
-                yield _rows(schema, part["id"].to_pylist(), found)
+                yield _rows(schema, found, ("id", part["id"].to_pylist()))
 
     return run
 
@@ -212,19 +212,19 @@ def _cut(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(path)
         for batch in batches:
-            for row, raw, key in zip(batch["id"].to_pylist(), as_bytes(batch["text"]), batch["row"].to_pylist(), strict=True):
+            for k1, k2, raw in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), as_bytes(batch["text"]), strict=True):
                 held = list(leaves(raw.decode(), split, limit))
                 n = len(held)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row] * n, pa.int64()),
-                        pa.array([key] * n, pa.int64()),
+                        pa.array([k1] * n, pa.int64()),
+                        pa.array([k2] * n, pa.int64()),
                         pa.array(range(n), pa.int64()),
                         pa.array([x[0] for x in held], pa.int64()),
                         pa.array([x[1] for x in held], pa.bool_()),
                         pa.array([x[2] for x in held], pa.binary()),
                     ],
-                    names=["id", "row", "leaf", "run", "part", "raw"],
+                    names=["k1", "k2", "leaf", "run", "part", "raw"],
                 )
 
     return run
@@ -236,7 +236,7 @@ def _encode_leaves(path: str):
         for batch in batches:
             raws, parts = batch["raw"].to_pylist(), batch["part"].to_pylist()
             ids = [code.whole(x).tobytes() if p else code.encode(x.decode()) for x, p in zip(raws, parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "row", "leaf", "run", "part")), pa.array(ids, pa.binary())], names=["id", "row", "leaf", "run", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("k1", "k2", "leaf", "run", "part")), pa.array(ids, pa.binary())], names=["k1", "k2", "leaf", "run", "part", "ids"])
 
     return run
 
@@ -245,7 +245,7 @@ def _concatenate(path: str, keep, schema: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(path)
         for batch in batches:
-            for key, held in zip(batch["id"].to_pylist(), batch["leaves"].to_pylist(), strict=True):
+            for k1, k2, held in zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), batch["leaves"].to_pylist(), strict=True):
                 out, tree = [], []
                 for k, x in enumerate(held):
                     if not x["part"]:
@@ -256,7 +256,7 @@ def _concatenate(path: str, keep, schema: str):
                         out.append(code.tree(tree).tobytes())
                         tree = []
                 ids = b"".join(out)
-                yield _rows(schema, [key], [keep(code, ids)])
+                yield _rows(schema, [keep(code, ids)], ("k1", [k1]), ("k2", [k2]))
 
     return run
 
@@ -265,7 +265,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     """Encode and decode every text.
 
     outputs: CONTENTS for n_tokens, ids and the decoded text; IDS without the text; DIGESTS for n_tokens and SHA-256 of both.
-    Texts over long_chars are cut into leaves of about leaf_chars that all tasks share, and put together again by row.
+    Texts over long_chars are cut into leaves of about leaf_chars that all tasks share, and put together again by text.
     path: a byte-level tokenizer file, readable on every executor.
     """
     bounded_batches(docs.sparkSession)
@@ -273,11 +273,12 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     is_long = F.length("text") > long_chars
     short = rows.where(~is_long).mapInArrow(_whole_texts(path, keep, outputs), f"id long, {outputs}")
-    # Rows are told apart by a key of their own: ids may repeat.
-    keyed = rows.where(is_long).withColumn("row", F.monotonically_increasing_id())
-    cut = keyed.mapInArrow(_cut(path, leaf_chars), "id long, row long, leaf long, run long, part boolean, raw binary")
-    dealt = cut.repartition(F.col("row"), F.col("leaf"))
-    coded = dealt.mapInArrow(_encode_leaves(path), "id long, row long, leaf long, run long, part boolean, ids binary")
-    by_row = coded.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("leaf", "run", "part", "ids"))).alias("leaves"))
-    long = by_row.select("id", "leaves").mapInArrow(_concatenate(path, keep, outputs), f"id long, {outputs}")
+    # A long text is known by two hashes of it, whatever its ids; copies are cut and encoded once.
+    keyed = rows.where(is_long).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("k2"), "text")})
+    key = "k1 long, k2 long"
+    cut = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text")).mapInArrow(_cut(path, leaf_chars), f"{key}, leaf long, run long, part boolean, raw binary")
+    coded = cut.repartition("k1", "k2", "leaf").mapInArrow(_encode_leaves(path), f"{key}, leaf long, run long, part boolean, ids binary")
+    by_text = coded.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("leaf", "run", "part", "ids"))).alias("leaves"))
+    whole = by_text.mapInArrow(_concatenate(path, keep, outputs), f"{key}, {outputs}")
+    long = keyed.select("id", "k1", "k2").join(whole, ["k1", "k2"]).drop("k1", "k2")
     return short.unionByName(long).withColumnRenamed("id", id_col)
