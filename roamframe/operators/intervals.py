@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_S = 3600
@@ -34,6 +34,21 @@ def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str] = (), sta
     return joined.drop("__block")
 
 
+def overlap_pairs(df: DataFrame, start: str = "start", end: str = "end", block: int = BLOCK_S) -> DataFrame:
+    """(block, n): how many pairs of [start, end) overlap, by the time block of the later start; no pair is formed.
+
+    A start meets all intervals that are going on then, so it is enough to keep count of them: within a block by a running sum, from block to block by
+    the sum of what each block adds. Empty intervals meet none.
+    """
+    edge = lambda c, step: F.struct(F.col(c).alias("t"), F.lit(step).cast("long").alias("d"))
+    edges = df.where(F.col(end) > F.col(start)).select(F.explode(F.array(edge(start, 1), edge(end, -1))).alias("e")).select("e.*").withColumn("block", F.floor(F.col("t") / block).cast("long"))
+    earlier = Window.partitionBy("block").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, -1)
+    met = edges.withColumn("on", F.coalesce(F.sum("d").over(earlier), F.lit(0))).groupBy("block").agg(F.sum("d").alias("net"), F.sum(F.when(F.col("d") > 0, F.col("on"))).alias("inner"), F.count(F.when(F.col("d") > 0, 1)).alias("starts"))
+    # One row a block from here on.
+    going = F.coalesce(F.sum("net").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return met.withColumn("going", going).where("starts > 0").select("block", (F.col("inner") + F.col("starts") * F.col("going")).alias("n"))
+
+
 def point_in_interval(points: DataFrame, intervals: DataFrame, time: str, start: str, end: str, on: Sequence[str] = (), block: int = BLOCK_S) -> DataFrame:
     """Pairs of a point and a [start, end) that holds it, by time block and keys."""
     p = points.withColumn("__block", F.floor(F.col(time) / block).cast("long"))

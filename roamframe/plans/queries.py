@@ -13,6 +13,7 @@ from ..operators import completeness as cov
 from ..operators import contacts as con
 from ..operators import filters, home, metrics, od, stop_tables, tags, validation, visits
 from ..operators.intervals import interval_join
+from ..operators.intervals import overlap_pairs as overlap_pairs_
 from ..sim import agents, city
 from ..sources import io
 from ..stops import runner, shapes
@@ -243,6 +244,11 @@ def interval_overlap_count(spark, sf):
     return interval_join(left, right).groupBy("l_place").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {STOPS}, s AS (SELECT *, row_number() OVER () AS r FROM stops) SELECT greatest(a.start_timestamp, b.start_timestamp) // 3600 AS block, count(*) AS n FROM s a JOIN s b ON a.r < b.r AND a.start_timestamp < b.end_timestamp AND b.start_timestamp < a.end_timestamp GROUP BY 1")
+def overlap_pairs(spark, sf):
+    return overlap_pairs_(stops(spark, sf), "start_timestamp", "end_timestamp").where("n > 0")
+
+
 def _explode_sql(step: int, base: int) -> str:
     return f"""WITH {STOPS}, e AS (SELECT *, unnest(range((start_timestamp - {base}) // {step}, (end_timestamp - {base}) // {step} + 1)) AS k FROM stops), c AS (SELECT user_id, location_id,
  greatest(start_timestamp, k * {step} + {base}) AS s, least(end_timestamp, (k + 1) * {step} + {base}) AS e FROM e) SELECT user_id, location_id, s AS start_timestamp, e AS end_timestamp, (e - s) // 60 AS duration FROM c WHERE (e - s) // 60 > 0"""
