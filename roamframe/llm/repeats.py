@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, bounded_batches, chunks, materialize, mix, partitions, slices, text_of
+from ._common import as_bytes, bounded_batches, chunks, materialize, mix, partitions, text_of
 
 LENGTH = 400
 #: A passage of fifty words, at four bytes a word with its space.
@@ -41,6 +41,8 @@ GRAM = 32
 MAX_GROUP = 20_000
 #: Anchors of so many strings that are sent to every executor, eight bytes each.
 MAX_LARGE = 1 << 20
+#: Texts with repeats whose keys are sent to every executor, sixteen bytes each.
+MAX_KEYS = 1 << 20
 #: Strings that are sorted at once.
 BATCH = 16_384
 _NONE = 255  # a byte that UTF-8 never has
@@ -332,26 +334,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_CUT = "k1 long, k2 long, n_removed long, n_spans long, n_shared long, cut_sha256 string, remains string"
+_CUT = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("n_shared", pa.int64()), ("kept_sha256", pa.string()), ("remains", pa.string())])
 
 
 def _cut(length: int, texts: bool):
     """What remains of each text without windows of length: its digest and, with texts, its whole characters. n_shared counts bytes in windows of any length."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                rows = []
-                for raw, spans in zip(as_bytes(part["text"]), part["spans"].to_pylist(), strict=True):
-                    whole = merged([(x["a"], x["b"]) for x in spans if x["length"] == length])
-                    kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in whole)], [*(a for a, _ in whole), len(raw)], strict=True))
-                    shared = sum(b - a for a, b in merged([(x["a"], x["b"]) for x in spans]))
-                    rows.append((sum(b - a for a, b in whole), len(whole), shared, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([part["k1"], part["k2"], *columns], names=["k1", "k2", "n_removed", "n_spans", "n_shared", "cut_sha256", "remains"])
+    @F.arrow_udf("n_removed long, n_spans long, n_shared long, kept_sha256 string, remains string")
+    def of(text: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = []
+        for raw, found in zip(as_bytes(text), spans, strict=True):
+            found = found.as_py()
+            whole = merged([(x["a"], x["b"]) for x in found if x["length"] == length])
+            kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in whole)], [*(a for a, _ in whole), len(raw)], strict=True))
+            shared = sum(b - a for a, b in merged([(x["a"], x["b"]) for x in found]))
+            rows.append((sum(b - a for a, b in whole), len(whole), shared, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None))
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], _CUT[i].type) for i in range(5)], fields=list(_CUT))
 
-    return run
+    return of
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -360,8 +360,8 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"__text": text, "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("k2"), text)})
 
 
-def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, max_group: int = MAX_GROUP, texts: bool = False, shared: int | None = None) -> DataFrame:
-    """By distinct text that has repeated strings: k1, k2, n_removed, n_spans, n_shared, cut_sha256 (of the remaining bytes) and, with texts, remains."""
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, max_group: int = MAX_GROUP, shared: int | None = None) -> DataFrame:
+    """By distinct text that has repeated strings besides being repeated as a whole: k1, k2 and spans (a, b, length) of the bytes that strings of that length cover."""
     spark = docs.sparkSession
     bounded_batches(spark)
     lengths = (length,) if shared is None or shared == length else (length, shared)
@@ -397,8 +397,7 @@ def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, max_
     covers = lined.mapInArrow(_compare(lengths), _COVER)
     if n_large:
         covers = covers.unionByName(counted)
-    spans = covers.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "length")).alias("spans"))
-    return candidates.select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_cut(length, texts), _CUT)
+    return covers.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "length")).alias("spans"))
 
 
 def remove_repeats(
@@ -413,31 +412,36 @@ def remove_repeats(
     names = docs.columns if texts else [id_col]
     text = text_of(text_col)
     least = min(length, shared or length)
-    rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text).alias("k2"),
-        F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own_sha256"),
-    )
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text).alias("k2"), text.alias("text"))
     copied = _keyed(docs.select(text_col), text_col).where(F.octet_length("__text") >= least).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.lit(True).alias("copied"))
-    cut = removals(docs, text_col, length, max_group, texts, shared)
     # One written table of what befalls a text: the join with it has a plain shuffle on both sides, so that a text with very many copies can be split.
-    found = cut.join(copied, ["k1", "k2"], "full")
-    found = found.withColumn("remains", F.when(F.col("copied").isNull(), F.col("remains")))
-    rows = rows.join(materialize(found, "repeats-found"), ["k1", "k2"], "left")
-    zero = F.lit(0).cast("long")
+    found = materialize(repeated_spans(docs, text_col, length, max_group, shared).join(copied, ["k1", "k2"], "full"), "repeats-found")
+    none = F.array().cast("array<struct<a:int,b:int,length:int>>")
+    if found.count() <= MAX_KEYS:
+        # Rows that nothing befalls are told by a list of bounded size and not shuffled.
+        keys = F.broadcast(found.select("k1", "k2"))
+        met = rows.join(keys, ["k1", "k2"], "left_semi").join(found, ["k1", "k2"])
+        met = met.unionByName(rows.join(keys, ["k1", "k2"], "left_anti"), allowMissingColumns=True)
+    else:
+        met = rows.join(found, ["k1", "k2"], "left")
     shares = F.coalesce("copied", F.lit(False))
-    gone = shares & (F.col("n_bytes") >= length)
-    out = rows.withColumns(
+    n_bytes = F.octet_length("text").cast("long")
+    out = met.select("row", "text", n_bytes.alias("n_bytes"), shares.alias("shares"), (shares & (n_bytes >= length)).alias("gone"), F.coalesce("spans", none).alias("spans"))
+    # Texts that go whole, or have no spans, do not go to Python.
+    partly = ~F.col("gone") & (F.size("spans") > 0)
+    out = out.withColumn("cut", F.when(partly, _cut(length, texts)(F.when(partly, F.col("text")), F.when(partly, F.col("spans")).otherwise(none))))
+    zero = F.lit(0).cast("long")
+    gone = F.col("gone")
+    out = out.withColumns(
         {
-            "n_removed": F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)),
-            "n_spans": F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)),
-            "kept_sha256": F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha256", "own_sha256")),
-            "n_shared": F.when(shares, F.col("n_bytes")).otherwise(F.coalesce("n_shared", zero)),
+            "n_removed": F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("cut.n_removed", zero)),
+            "n_spans": F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("cut.n_spans", zero)),
+            "kept_sha256": F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut.kept_sha256", F.sha2(F.col("text").cast("binary"), 256))),
+            "n_shared": F.when(F.col("shares"), F.col("n_bytes")).otherwise(F.coalesce("cut.n_shared", zero)),
         }
     )
     own = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_shared"] * (shared is not None)
     if not texts:
         return out.select("row.*", *own)
-
-    # A copy that is too short to go kept no remains of its own above: it stays as it is.
-    left = F.when(gone, F.lit("")).otherwise(F.coalesce("remains", F.col("row").getField(text_col)))
+    left = F.when(gone, F.lit("")).otherwise(F.coalesce("cut.remains", F.col("row").getField(text_col)))
     return out.select(*(left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), *(c for c in own if c not in names))

@@ -359,7 +359,7 @@ def brute_repeats(texts, n):
 
 
 @pytest.mark.parametrize("max_group", [repeats.MAX_GROUP, 3])
-def test_repeats(spark, max_group):
+def test_repeats(spark, max_group, monkeypatch):
     rng = random.Random(9)
     base = ["".join(rng.choice("abcdeé ") for _ in range(rng.choice([0, 30, 39, 60, 300, 900]))) for _ in range(40)]
     passages = ["".join(rng.choice("xyz") for _ in range(n)) for n in (41, 60, 100)]
@@ -372,7 +372,8 @@ def test_repeats(spark, max_group):
         docs.append(rng.choice(["", "ab" * 30, "hello world " * 9]) + x if rng.random() < 0.2 else x)
     docs += [None, "", "a" * 200]
     raw = [(x or "").encode() for x in docs]
-    for length, shared in ((40, None), (400, None), (60, 40), (400, 41)):
+    for length, shared in ((40, None), (400, None), (60, 40), (400, 41), (41, 40)):
+        monkeypatch.setattr(repeats, "MAX_KEYS", 0 if length == 41 else 1 << 20)
         got = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, docs), length=length, max_group=max_group, shared=shared).collect()}
         found = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (got[i] for i in range(len(docs)))]
         assert found == brute_repeats(raw, length)
