@@ -44,6 +44,7 @@ class Codec:
     def __init__(self, path: str):
         self.split: Splitter = splitter(path)
         self.memo: dict[str, bytes] = {}
+        self.tokenize = self.split.library.model.tokenize
         vocab = self.split.library.get_vocab(with_added_tokens=True)
         self.special = {x: np.array([i], "<u4").tobytes() for x, i in self.split.special.items()}
         token: list[bytes] = [b""] * (max(vocab.values()) + 1)
@@ -52,7 +53,8 @@ class Codec:
         self.token = pa.array(token, pa.large_binary())
 
     def merge(self, spelled: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.split.model.encode_batch_fast(spelled, add_special_tokens=False)]
+        """By the model itself: the library's batches start a thread for each of the machine's processors, whose waiting costs more than such short strings."""
+        return [[x.id for x in self.tokenize(s)] for s in spelled]
 
     def whole(self, raw: bytes) -> np.ndarray:
         """The merges' ids of bytes, whatever their length, without the tree."""

@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -81,6 +84,13 @@ def test_bpe_equals_the_library(spark, texts, long_chars):
     assert digest == {i: hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for i, (x, _) in want.items()}
 
 
+def test_bpe_starts_no_threads():
+    """Threads of the library, one for each processor, take more CPU time than the merges."""
+    run = "import os; from roamframe.llm.bpe import Codec; c = Codec(%r); n = len(os.listdir('/proc/self/task')); c.encode(' '.join(map(str, range(10 ** 5, 11 * 10 ** 4)))); print(len(os.listdir('/proc/self/task')) - n)"
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    assert int(subprocess.run([sys.executable, "-c", run % BYTE_BPE], env=env, capture_output=True, check=True, text=True).stdout) == 0
+
+
 def test_tree_concatenation_is_exact():
     code, rng = bpe.Codec(BYTE_BPE), random.Random(2)
     for _ in range(500):
