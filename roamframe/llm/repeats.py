@@ -14,7 +14,10 @@ Only suffixes of one round can hold equal windows, so a round keeps its own orde
 Two lengths can be asked for at once: windows of the lesser one are anchored, strings reach as far as windows of the greater one, and a round
 gives both, as a suffix has either length in common with a neighbour.
 
-An anchor with more than max_group strings is not sorted in one task: each of its windows is dealt by its 128-bit hash and counted, with the same result.
+An anchor with more than max_group strings is not sorted in one task. Its equal strings are made one, which repeats as a whole; if too many
+are left, they are dealt again by part of the rounds: windows that begin in few neighbouring rounds have all but few of their bytes in common, and go by the hash
+of these. Each part is a collection like the one before, of shorter strings and fewer rounds, and is sorted alike or dealt again; with one
+round to a part, a group is one string.
 
 Equal texts count as one that repeats as a whole. Null and empty texts have no bytes. Repeated rows are copies of each other; ids
 may repeat or be null; further columns are kept where texts are returned, and not read elsewhere.
@@ -179,12 +182,11 @@ class Columns:
         self.common[rows] = new
 
 
-def repeated_starts(group: np.ndarray, strings: list[bytes], left: np.ndarray, lengths: tuple[int, ...] = (LENGTH,)) -> list[np.ndarray]:
-    """For each length a row per string and a column per distance: whether the window that begins there, counted from min(lengths) - GRAM bytes before the anchor, repeats.
+def repeated_starts(group: np.ndarray, strings: list[bytes], left: np.ndarray, reach: int, lengths: tuple[int, ...] = (LENGTH,)) -> list[np.ndarray]:
+    """For each length a row per string and a column per distance: whether the window that begins there, counted from reach bytes before the anchor, repeats.
 
-    left: how many bytes of each string stand before its anchor.
+    left: how many bytes of each string stand before its anchor, reach at most.
     """
-    reach = min(lengths) - GRAM
     n, width = len(strings), reach + max(lengths)
     text = np.full((n, width), _NONE, np.uint8)
     for i, (x, k) in enumerate(zip(strings, left.tolist(), strict=True)):
@@ -263,9 +265,8 @@ def _spans(found: np.ndarray, shift: np.ndarray, length: int) -> tuple[np.ndarra
     return row, start[new] + shift[row], start[last] + shift[row] + length
 
 
-def _compare(lengths: tuple[int, ...]):
-    """Rows come sorted by hash: whole groups are sorted together, BATCH strings or one group at a time."""
-    reach = min(lengths) - GRAM
+def _compare(lengths: tuple[int, ...], reach: int):
+    """Rows come sorted by hash: whole groups are sorted together, BATCH strings or one group at a time. Windows begin at most reach bytes before their anchor."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         hashes, k1, k2, at, left = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:5])
@@ -279,7 +280,7 @@ def _compare(lengths: tuple[int, ...]):
         many = np.bincount(group)[group] > 1 if len(own) else own == 0
         own, group = own[many], group[many]
         if len(own):
-            for n, found in zip(lengths, repeated_starts(group, [rows[i][5] for i in own.tolist()], left[own], lengths), strict=True):
+            for n, found in zip(lengths, repeated_starts(group, [rows[i][5] for i in own.tolist()], left[own], reach, lengths), strict=True):
                 row, a, b = _spans(found & ~(end[own] - begin[own] >= n)[:, None], at[own] - reach, n)
                 out.append((k1[own][row], k2[own][row], a, b, np.full(len(row), n)))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -302,28 +303,61 @@ def _compare(lengths: tuple[int, ...]):
     return run
 
 
-_WINDOW = "w1 long, w2 long, k1 long, k2 long, a int, length int"
+_DEALT = "hash long, k1 long, k2 long, at int, left int, string binary"
 
 
-def _windows(lengths: tuple[int, ...]):
-    """Each window of a string, of each length, with its hash."""
+def _deal(length: int, rounds: int, part: int):
+    """The bytes of each string that its windows of length from part neighbouring rounds cover, by the hash of what all of these windows have; its place is the new anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, at, left, starts, string in zip(*(batch[c].to_pylist() for c in ("k1", "k2", "at", "left", "starts", "string")), strict=True):
-                for length in lengths:
-                    n = min(starts, len(string) - length + 1)
-                    if n > 0:
-                        raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(string[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
-                        begin = pa.array(np.arange(at - left, at - left + n, dtype=np.int32))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(raw[:, 0]), pa.array(raw[:, 1]), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), begin, pa.array([length] * n, pa.int32())],
-                            names=["w1", "w2", "k1", "k2", "a", "length"],
-                        )
+            rows = []
+            for group, k1, k2, at, left, string in zip(*(batch[c].to_pylist() for c in ("hash", "k1", "k2", "at", "left", "string")), strict=True):
+                for k in range(0, rounds, part):
+                    # The last window of these rounds begins here, the first one less than n bytes before.
+                    last, n = left - k, min(part, rounds - k)
+                    common = string[last : last - n + 1 + length] if last >= 0 else b""
+                    if len(common) == length - n + 1:
+                        first = max(last - n + 1, 0)
+                        # With the group as seed, a string that two anchors of a text have is not taken for a copy of itself.
+                        rows.append((xxhash.xxh3_64_intdigest(common, (group + k) % (1 << 64)), k1, k2, at - k, last - first, string[first : last + length]))
+            h, *rest = zip(*rows, strict=True) if rows else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            columns = [pa.array(np.array(h, np.uint64).view(np.int64)), *(pa.array(x, kind) for x, kind in zip(rest, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "k1", "k2", "at", "left", "string"])
 
     return run
 
 
+def _lined(strings: DataFrame) -> DataFrame:
+    return strings.repartition(partitions(strings.sparkSession), "hash").sortWithinPartitions("hash")
+
+
+def _crowded(strings: DataFrame, rounds: int, lengths: tuple[int, ...], max_group: int) -> DataFrame:
+    """Covers of strings (hash, k1, k2, at, left, string), however many have a hash; their windows begin less than rounds bytes before their anchor."""
+    same = ("hash", "left", "string")
+    strings = materialize(strings.withColumns({"s1": F.xxhash64(*same), "s2": F.xxhash64(F.lit("s2"), *same)}), "repeats-crowd")
+    one = materialize(strings.groupBy("s1", "s2").agg(*(F.first(c).alias(c) for c in same), F.count("*").alias("n")), "repeats-strings")
+    # One round leaves one string to a group.
+    large = materialize(one.groupBy("hash").agg(F.count("*").alias("n")).where((F.col("n") > max_group) & F.lit(rounds > 1)).select("hash"), "repeats-large")
+    n_large = large.count()
+    large = F.broadcast(large) if n_large <= MAX_LARGE else large
+    # Places are counted from the begin of a string. Of a crowd, only what strings have as a whole is settled here.
+    rows = one.select("hash", F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("left").alias("at"), "left", "string", F.when(F.col("n") > 1, F.octet_length("string")).alias("end"))
+    calm = rows.join(large.withColumn("large", F.lit(True)), "hash", "left").where("large is null or end is not null")
+    calm = calm.withColumns({"string": F.when(F.col("large").isNull(), F.col("string")), "hash": F.when(F.col("large").isNull(), F.col("hash")).otherwise(F.col("k1"))}).drop("large")
+    covers = _lined(calm).mapInArrow(_compare(lengths, rounds - 1), _COVER)
+    if n_large:
+        part = (rounds + 3) // 4
+        crowd = rows.join(large, "hash", "left_semi").drop("end")
+        for length in lengths:
+            covers = covers.unionByName(_crowded(crowd.mapInArrow(_deal(length, rounds, part), _DEALT), part, (length,), max_group))
+    # Written, so that the join with it has a plain shuffle on both sides and a very common string can be split.
+    covers = materialize(covers.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("a").alias("from"), F.col("b").alias("to"), "length"), "repeats-covers")
+    begin = F.col("at") - F.col("left")
+    return strings.drop("string").join(covers, ["s1", "s2"]).select("k1", "k2", (begin + F.col("from")).alias("a"), (begin + F.col("to")).alias("b"), "length")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -366,6 +400,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     bounded_batches(spark)
     lengths = (length,) if shared is None or shared == length else (length, shared)
     least = min(lengths)
+    rounds = least - GRAM + 1
     if least > 1 << _BITS:
         raise ValueError(f"strings of at most {1 << _BITS} bytes are anchored")
     bodies = _keyed(docs.select(text_col), text_col).select("k1", "k2", F.col("__text").alias("text")).where(F.octet_length("text") >= least)
@@ -382,21 +417,17 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     n_large = large.count()
     strings = candidates.mapInArrow(_strings(lengths), _STRING)
     if n_large:
-        # Few by nature: each has over max_group strings. A list of unusual length is joined by shuffle.
+        # Few by nature: each has over max_group anchors. A list of unusual length is joined by shuffle.
         large = F.broadcast(large) if n_large <= MAX_LARGE else large
         owners = materialize(hashes.join(large, "hash", "left_semi").select("k1", "k2").distinct(), "repeats-owners")
-        windows = candidates.join(owners, ["k1", "k2"], "left_semi").mapInArrow(_strings(lengths), _STRING).where("string is not null").join(large, "hash", "left_semi").mapInArrow(_windows(lengths), _WINDOW)
-        # Written, so that the join with it has a plain shuffle on both sides and a very common window can be split.
-        twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "repeats-windows")
-        hits = windows.join(twice, ["w1", "w2"])
-        counted = hits.select("k1", "k2", "a", (F.col("a") + F.col("length")).alias("b"), "length")
+        crowd = candidates.join(owners, ["k1", "k2"], "left_semi").mapInArrow(_strings(lengths), _STRING).where("string is not null").join(large, "hash", "left_semi")
+        crowded = _crowded(crowd.select("hash", "k1", "k2", "at", "left", "string"), rounds, lengths, max_group)
         # What a text has twice still comes with its strings.
         strings = strings.join(large.withColumn("large", F.lit(True)), "hash", "left").where("large is null or end is not null")
         strings = strings.withColumns({"string": F.when(F.col("large").isNull(), F.col("string")), "hash": F.when(F.col("large").isNull(), F.col("hash")).otherwise(F.col("k1"))}).drop("large")
-    lined = strings.repartition(partitions(spark), "hash").sortWithinPartitions("hash")
-    covers = lined.mapInArrow(_compare(lengths), _COVER)
+    covers = _lined(strings).mapInArrow(_compare(lengths, rounds - 1), _COVER)
     if n_large:
-        covers = covers.unionByName(counted)
+        covers = covers.unionByName(crowded)
     return covers.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "length")).alias("spans"))
 
 
