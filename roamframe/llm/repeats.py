@@ -48,6 +48,8 @@ MAX_LARGE = 1 << 20
 MAX_KEYS = 1 << 20
 #: Strings that are sorted at once.
 BATCH = 16_384
+#: Strings whose spans are read at once.
+PART = 2_048
 _NONE = 255  # a byte that UTF-8 never has
 _LOW = np.uint64((1 << 24) - 1)
 _SCALES = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
@@ -281,8 +283,11 @@ def _compare(lengths: tuple[int, ...], reach: int):
         own, group = own[many], group[many]
         if len(own):
             for n, found in zip(lengths, repeated_starts(group, [rows[i][5] for i in own.tolist()], left[own], reach, lengths), strict=True):
-                row, a, b = _spans(found & ~(end[own] - begin[own] >= n)[:, None], at[own] - reach, n)
-                out.append((k1[own][row], k2[own][row], a, b, np.full(len(row), n)))
+                # A common string has hits in all its places: they are read from few strings at a time.
+                for x in range(0, len(own), PART):
+                    part = own[x : x + PART]
+                    row, a, b = _spans(found[x : x + PART] & ~(end[part] - begin[part] >= n)[:, None], at[part] - reach, n)
+                    out.append((k1[part][row], k2[part][row], a, b, np.full(len(row), n)))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "a", "b", "length"])
 

@@ -6,6 +6,7 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -429,6 +430,20 @@ def test_a_crowd_dealt_by_rounds_is_ordered_alike():
             assert {k: x for k, x in found.items() if x} == {k: x for k, x in whole.items() if x and k[1] == length}
 
 
+def test_a_common_string_takes_little_memory():
+    """As many strings as a task sorts at once, all of whose windows repeat; 115 MB when their spans were read at once."""
+    n = repeats.MAX_GROUP
+    string = bytes(random.Random(1).choices(b"abcdefgh ", k=568))
+    columns = {"hash": [7] * n, "k1": range(n), "k2": [0] * n, "at": [168] * n, "left": [168] * n, "string": [string] * n, "end": pa.array([None] * n, pa.int32())}
+    batch = pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+    tracemalloc.start()
+    found = pa.Table.from_batches(repeats._compare((400, 200), 168)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 2 * n and set(found["a"].to_pylist()) == {0} and set(found["b"].to_pylist()) == {368, 568}
+    assert peak < 60e6
+
+
 def test_repeats_leave_columns_of_the_same_names_alone(spark):
     rng = random.Random(7)
     shared = "".join(rng.choice("abcdefgh ") for _ in range(60))
