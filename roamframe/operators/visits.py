@@ -82,12 +82,16 @@ def summarize_locations(points: DataFrame, location: str = "location_id", coords
     return points.where(F.col(location).isNotNull()).groupBy(location).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in coords])
 
 
-def condense_destinations(diary: DataFrame, keys: tuple[str, ...] = ("user_id",), time: str = "timestamp", location: str = "location", duration: str = "duration") -> DataFrame:
-    """Condense a diary: consecutive entries of one place (two nulls too) become one, durations summed."""
-    w = Window.partitionBy(*keys).orderBy(time)
+def condense_destinations(diary: DataFrame, keys: tuple[str, ...] = ("user_id",), time: str = "timestamp", location: str = "location", duration: str = "duration", tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Condense a diary: consecutive entries of one place (two nulls too) become one, durations summed.
+
+    Entries of one time are compared in the order of tiebreak columns, but are one entry, of the smallest of their places.
+    """
+    w = Window.partitionBy(*keys).orderBy(time, *tiebreak)
     new = (~F.col(location).eqNullSafe(F.lag(location).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    runs = diary.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w))
-    return runs.groupBy(*keys, "__run").agg(F.min(time).alias(time), F.sum(duration).alias(duration), F.first(location).alias(location)).drop("__run")
+    upto = Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = diary.withColumn("__new", new).withColumn("__run", F.sum("__new").over(upto))
+    return runs.groupBy(*keys, "__run").agg(F.min(time).alias(time), F.sum(duration).alias(duration), F.min(location).alias(location)).drop("__run")
 
 
 def box_overlap(polygons: DataFrame, size: float = 100.0) -> DataFrame:

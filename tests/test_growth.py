@@ -2,7 +2,7 @@
 
 import random
 
-from roamframe.operators import contacts
+from roamframe.operators import contacts, visits
 
 STOPS = "user_id string, location_id string, start_timestamp long, end_timestamp long, x double, y double"
 
@@ -35,3 +35,12 @@ def test_exploded_sides_are_not_broadcast(spark, tmp_path):
         assert "Broadcast" not in plan(df)
         df.count()
         assert "Broadcast" not in plan(df)
+
+
+def test_diary_entries_of_one_time(spark):
+    """As in the query's SQL, entries of one time are one, of the smallest of their places; their order is the tiebreak's."""
+    rows = [(1, "u", 10, "c", 1), (3, "u", 20, "b", 3), (2, "u", 20, "d", 2), (4, "u", 30, "b", 4), (5, "u", 40, "a", 5)]
+    for order in (rows, rows[::-1]):
+        diary = spark.createDataFrame(order, "ping_id long, user_id string, timestamp long, location string, duration long")
+        got = visits.condense_destinations(diary, tiebreak=["ping_id"]).select("timestamp", "location", "duration")
+        assert sorted(map(tuple, got.collect())) == [(10, "c", 1), (20, "b", 9), (40, "a", 5)]
