@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from roamframe.operators import contacts, visits
+from roamframe.sim import agents, city
 
 STOPS = "user_id string, location_id string, start_timestamp long, end_timestamp long, x double, y double"
 
@@ -44,3 +48,45 @@ def test_diary_entries_of_one_time(spark):
         diary = spark.createDataFrame(order, "ping_id long, user_id string, timestamp long, location string, duration long")
         got = visits.condense_destinations(diary, tiebreak=["ping_id"]).select("timestamp", "location", "duration")
         assert sorted(map(tuple, got.collect())) == [(10, "c", 1), (20, "b", 9), (40, "a", 5)]
+
+
+def plain_diary(town, rng, start, days, rho=0.4, gamma=0.3):
+    """A step and a number at a time."""
+    names = sorted(town.buildings)
+    doors, kinds = np.array([town.buildings[n].door for n in names]), [town.buildings[n].kind for n in names]
+    here = int(rng.choice([i for i, k in enumerate(kinds) if k == "home"]))
+    visits_, out = {here: 1}, []
+    for now in range(start, start + days * 86400, 900):
+        is_open = [agents.OPEN[k][0] <= now // 3600 % 24 < agents.OPEN[k][1] for k in kinds]
+        if not (is_open[here] and rng.random() < agents.STAY[kinds[here]]):
+            known = [i for i in visits_ if is_open[i] and i != here]
+            new = [i for i in range(len(names)) if is_open[i] and i not in visits_]
+            if new and (not known or rng.random() < rho * len(visits_) ** -gamma):
+                w = 1.0 / np.abs(doors[new] - doors[here]).sum(axis=1).clip(1) ** 2
+                here = new[int(rng.choice(len(new), p=w / w.sum()))]
+            elif known:
+                w = np.array([visits_[i] for i in known], float)
+                here = known[int(rng.choice(len(known), p=w / w.sum()))]
+            visits_[here] = visits_.get(here, 0) + 1
+        if out and out[-1][2] == names[here]:
+            out[-1][1] += 15
+        else:
+            out.append([now, 15, names[here]])
+    return [tuple(x) for x in out]
+
+
+def test_diaries_of_many_agents_at_once(spark):
+    town = city.random_city(12, 12, seed=1)
+    ids = spark.range(40).select(F.col("id").alias("agent_id")).coalesce(1)
+    df = agents.diaries(ids, town, 0, 2, 5)
+    assert df.rdd.getNumPartitions() > 1
+    got = sorted(map(tuple, df.collect()))
+    want, ends = [], []
+    for a in range(40):
+        rng = agents._rng(a, 5)
+        want += [(a, *x) for x in plain_diary(town, rng, 0, 2)]
+        ends.append(rng.random())
+    assert got == sorted(want)
+    rngs = [agents._rng(a, 5) for a in range(40)]
+    agents.diary_arrays(town, rngs, 0, 2)
+    assert [r.random() for r in rngs] == ends
