@@ -90,3 +90,15 @@ def test_diaries_of_many_agents_at_once(spark):
     rngs = [agents._rng(a, 5) for a in range(40)]
     agents.diary_arrays(town, rngs, 0, 2)
     assert [r.random() for r in rngs] == ends
+
+
+def test_steps_drawn_ahead_are_those_drawn_one_by_one(spark):
+    one, two = np.random.default_rng(1), np.random.default_rng(1)
+    steps = agents._Steps(one)
+    n = agents.AHEAD + 7
+    assert [steps.next() for _ in range(n)] == [tuple(two.normal(0, 0.1, 2).tolist()) for _ in range(n)]
+    steps.done()
+    assert one.random() == two.random()
+    pings = agents.trajectories(spark.range(3).select(F.col("id").alias("agent_id")).coalesce(1), city.random_city(12, 12, seed=1))
+    assert pings.rdd.getNumPartitions() > 1
+    assert pings.count() == 3 * 1440
