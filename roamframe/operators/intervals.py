@@ -49,6 +49,38 @@ def overlap_pairs(df: DataFrame, start: str = "start", end: str = "end", block:
     return met.withColumn("going", going).where("starts > 0").select("block", (F.col("inner") + F.col("starts") * F.col("going")).alias("n"))
 
 
+def overlap_counts(left: DataFrame, right: DataFrame, by: Sequence[str], start: tuple[str, str] = ("l_start", "r_start"), end: tuple[str, str] = ("l_end", "r_end"), block: int = BLOCK_S) -> DataFrame:
+    """(by, n): how many pairs of [start, end) of left and right overlap, by columns of left; no pair is formed.
+
+    An interval meets those of right that begin before its end, but for those that ended by its start: both numbers are running sums over right's edges, within
+    a block of seconds and from block to block. Edges of one second are summed first, so a block has at most its seconds times the groups. Empty intervals
+    meet none.
+    """
+    (s1, s2), (e1, e2) = start, end
+
+    def edges(df: DataFrame, s: str, e: str, names: tuple[str, str], cols: list[Column]) -> DataFrame:
+        edge = lambda c, k: F.struct(F.col(c).cast("long").alias("t"), F.lit(int(k == 0)).cast("long").alias(names[0]), F.lit(int(k == 1)).cast("long").alias(names[1]))
+        return df.where(F.col(e) > F.col(s)).select(*cols, F.explode(F.array(edge(s, 0), edge(e, 1))).alias("e")).select(*[f"__k{i}" for i in range(len(by))], "__right", "e.*")
+
+    none = left.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]).schema
+    mine = edges(left, s1, e1, ("a0", "a1"), [*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.lit(False).alias("__right")])
+    theirs = edges(right, s2, e2, ("b0", "b1"), [*[F.lit(None).cast(f.dataType).alias(f.name) for f in none.fields], F.lit(True).alias("__right")])
+    keys = [f.name for f in none.fields]
+    rows = mine.unionByName(theirs, allowMissingColumns=True).groupBy(*keys, "__right", "t").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("a0", "a1", "b0", "b1")])
+    rows = rows.withColumn("block", F.floor(F.col("t") / block).cast("long"))
+    w = Window.partitionBy("block").orderBy("t")
+    # Starts of right before t, ends of right up to t.
+    begun = F.coalesce(F.sum("b0").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = F.sum("b1").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    inner = F.col("a1") * F.col("begun") - F.col("a0") * F.col("over")
+    per = rows.withColumns({"begun": begun, "over": over}).groupBy("block", "__right", *keys).agg(F.sum(inner).alias("inner"), *[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")])
+    # One row a block and group from here on.
+    before = Window.orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    carried = {c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("b0", "b1")}
+    whole = per.withColumns({"begun": carried["b0"], "over": carried["b1"]}).where("not __right")
+    return whole.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)]).agg(F.sum(F.col("inner") + inner).alias("n")).where("n > 0")
+
+
 def point_in_interval(points: DataFrame, intervals: DataFrame, time: str, start: str, end: str, on: Sequence[str] = (), block: int = BLOCK_S) -> DataFrame:
     """Pairs of a point and a [start, end) that holds it, by time block and keys."""
     p = points.withColumn("__block", F.floor(F.col(time) / block).cast("long"))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from roamframe.operators import contacts, visits
+from roamframe.operators.intervals import overlap_counts
 from roamframe.sim import agents, city
 
 STOPS = "user_id string, location_id string, start_timestamp long, end_timestamp long, x double, y double"
@@ -102,3 +103,15 @@ def test_steps_drawn_ahead_are_those_drawn_one_by_one(spark):
     pings = agents.trajectories(spark.range(3).select(F.col("id").alias("agent_id")).coalesce(1), city.random_city(12, 12, seed=1))
     assert pings.rdd.getNumPartitions() > 1
     assert pings.count() == 3 * 1440
+
+
+def test_overlaps_counted_without_pairs(spark):
+    rows = random_stops(120, 3) + [("x", "a", 5, 5, 0.0, 0.0), ("x", None, 0, 9, 0.0, 0.0)]
+    s = spark.createDataFrame(rows, STOPS)
+    want = {}
+    for a in rows:
+        n = sum(a[2] < b[3] and b[2] < a[3] for b in rows if b[2] < b[3]) if a[2] < a[3] else 0
+        want[a[1]] = want.get(a[1], 0) + n
+    df = overlap_counts(s, s, ["location_id"], (contacts.START, contacts.START), (contacts.END, contacts.END))
+    assert {r.location_id: r.n for r in df.collect()} == want
+    assert "Join" not in plan(df)
