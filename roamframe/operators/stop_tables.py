@@ -10,24 +10,32 @@ from pyspark.sql import functions as F
 from ..functions.time import floor_minutes
 
 START, END = "start_timestamp", "end_timestamp"
+#: Columns of labelled pings that already say the gap to the stop's ping before, which ping is its medoid, and the diameter beside it.
+SHAPES = ("__gap", "__medoid", "__diameter")
 
 
 def summarize_stops(labelled: DataFrame, keys: Sequence[str] = ("user_id",), time: str = "timestamp", label: str = "cluster", dur_min: int = 0, coords: tuple[str, str] | None = None, geographic: bool = False, passthrough: Sequence[str] = (), passthrough_agg: Mapping[str, Column] | None = None) -> DataFrame:
     """A stop per key and label; noise (-1) and null labels are dropped.
 
     Start, end, duration, n_pings, max_gap (minutes), first of passthrough columns in time, mean ha if there is one; with coords also the medoid
-    and the diameter (whole metres, half to even). Medoid and diameter come from the distances within a stop, in a grouped function.
+    and the diameter (whole metres, half to even). Medoid and diameter come from the distances within a stop, in a grouped function, unless the labelled
+    pings have them.
     """
+    known = bool(coords) and set(SHAPES) <= set(labelled.columns)
     rows = labelled.where((F.col(label) != -1) & F.col(label).isNotNull())
     by = [*keys, label]
     gap = F.col(time) - F.lag(time).over(Window.partitionBy(*by).orderBy(time))
     firsts = [F.min_by(c, time).alias(c) for c in passthrough]
     named = [a.alias(c) for c, a in (passthrough_agg or {}).items()]
     means = [F.avg("ha").alias("ha")] if "ha" in labelled.columns else []
-    out = rows.withColumn("__gap", gap).groupBy(*by).agg(
+    if known:
+        named += [*[F.max(F.when(F.col("__medoid"), F.col(c))).alias(c) for c in coords], F.max("__diameter").alias("diameter")]
+    out = (rows if known else rows.withColumn("__gap", gap)).groupBy(*by).agg(
         F.min(time).alias(START), F.max(time).alias(END), F.count("*").alias("n_pings"), F.coalesce(floor_minutes(F.max("__gap")), F.lit(0).cast("long")).alias("max_gap"), *firsts, *named, *means
     )
     out = out.withColumn("duration", floor_minutes(F.col(END) - F.col(START))).where(F.col("duration") >= dur_min)
+    if known:
+        return out.select(*[c for c in out.columns if c not in (*coords, "diameter")], *coords, "diameter")
     if coords:
         from ..stops.shapes import medoid_and_diameter
 

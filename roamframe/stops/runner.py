@@ -11,31 +11,87 @@ from pyspark.sql import types as T
 
 from ..columns import ColumnMap
 from ..functions.spread import spread
-from ..operators.stop_tables import merge_stops, summarize_stops
+from ..operators.stop_tables import SHAPES, merge_stops, summarize_stops
 from . import hdbscan, kernels
 
 
-def per_user(pings: DataFrame, label: Callable, extra: Sequence[tuple[str, T.DataType]] = (), traj_cols: Mapping[str, str] | None = None, tiebreak: Sequence[str] = (), **given: str) -> DataFrame:
-    """pings with cluster and extra columns. label(t, p, geographic) gives the labels, or a tuple of labels and the extra columns.
+#: Columns that per_user adds with shapes: seconds since the stop's ping before, whether a ping is the stop's medoid, and the diameter beside the medoid.
+GAP, MEDOID, DIAMETER = SHAPES
 
-    A user's pings are sorted by time, then tiebreak columns, so that the result does not depend on partitions.
+
+def per_user(pings: DataFrame, label: Callable, extra: Sequence[tuple[str, T.DataType]] = (), traj_cols: Mapping[str, str] | None = None, tiebreak: Sequence[str] = (), shapes: bool = False, **given: str) -> DataFrame:
+    """pings with cluster and extra columns. label(t, p, geographic) gives the labels, or a tuple of labels and the extra columns, masked where they are null.
+
+    A user's pings are sorted by time, then tiebreak columns, so that the result does not depend on partitions. Users come one after another in Arrow batches,
+    of which only the user, time and coordinates are turned into arrays. With shapes the pass also gives what stops_of needs of each stop.
     """
     cols = ColumnMap.resolve(pings.columns, traj_cols, **given).require(user=True, spatial=True)
     a, b = cols.spatial()
-    time = cols[cols.time()]
-    kind = dict(pings.dtypes)[time]
-    schema = T.StructType([*pings.schema.fields, T.StructField("cluster", T.LongType()), *[T.StructField(n, t) for n, t in extra]])
-    names, order = [cols[a], cols[b]], [time, *tiebreak]
-
-    def of(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        t = pdf[time].to_numpy()
-        t = t.astype("datetime64[s]").astype(np.int64) if kind.startswith("timestamp") else t.astype(np.int64)
-        found = label(t, pdf[names].to_numpy(float), a == "longitude")
-        columns = found if isinstance(found, tuple) else (found,)
-        return pdf.assign(**dict(zip(["cluster", *[n for n, _ in extra]], columns, strict=True)))
-
-    return spread(pings, cols["user_id"]).groupBy(cols["user_id"]).applyInPandas(of, schema)
+    user, time = cols["user_id"], cols[cols.time()]
+    stamps = dict(pings.dtypes)[time].startswith("timestamp")
+    added = [("cluster", T.LongType()), *extra, *(((GAP, T.LongType()), (MEDOID, T.BooleanType()), (DIAMETER, T.LongType())) if shapes else ())]
+    schema = T.StructType([*pings.schema.fields, *[T.StructField(n, t) for n, t in added]])
+    names, geographic = [cols[a], cols[b]], a == "longitude"
+
+    def of(batches):
+        import pyarrow as pa
+
+        for table in _whole_users(batches, user):
+            stamp = table.column(time)
+            t = stamp.to_numpy().astype("datetime64[s]").astype(np.int64) if stamps else stamp.to_numpy().astype(np.int64)
+            p = np.column_stack([table.column(c).to_numpy().astype(float) for c in names])
+            starts = _starts(table.column(user))
+            parts = []
+            for i, j in zip(starts, [*starts[1:], len(t)], strict=True):
+                found = label(t[i:j], p[i:j], geographic)
+                found = found if isinstance(found, tuple) else (found,)
+                parts.append((*found, *_shapes(t[i:j], p[i:j], geographic, found[0])) if shapes else found)
+            for (name, kind), pieces in zip(added, zip(*parts, strict=True), strict=True):
+                column = np.ma.concatenate(pieces) if any(isinstance(x, np.ma.MaskedArray) for x in pieces) else np.concatenate(pieces)
+                mask = np.ma.getmaskarray(column) if isinstance(column, np.ma.MaskedArray) else None
+                table = table.append_column(name, pa.array(np.ma.getdata(column), pa.bool_() if kind == T.BooleanType() else pa.int64(), mask=mask))
+            yield from table.to_batches()
+
+    last = lambda c: F.col(c).asc_nulls_last()
+    return spread(pings, user).sortWithinPartitions(F.col(user), last(time), *map(last, tiebreak)).mapInArrow(of, schema)
+
+
+def _starts(users) -> list[int]:
+    """Rows at which another user begins."""
+    code = users.combine_chunks().dictionary_encode(null_encoding="encode")
+    code = (code.combine_chunks() if hasattr(code, "chunks") else code).indices.to_numpy()
+    return [0, *(np.flatnonzero(np.diff(code)) + 1).tolist()]
+
+
+def _whole_users(batches, user: str):
+    """Tables of all rows of users, from batches in which they lie one after another."""
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = pa.chunked_array([batch.column(batch.schema.get_field_index(user))])
+        cut = _starts(keys)[-1]
+        if cut or (held and held[-1].column(held[-1].schema.get_field_index(user))[-1] != keys[0]):
+            ready = [*held, batch.slice(0, cut)] if cut else held
+            yield pa.Table.from_batches(ready).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _shapes(t, p, geographic, labels):
+    gap, medoid, diameter = np.ma.masked_all(len(t), np.int64), np.zeros(len(t), bool), np.ma.masked_all(len(t), np.int64)
+    order = np.argsort(labels, kind="stable")
+    order = order[labels[order] >= 0]
+    if len(order):
+        for rows in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
+            gap[rows[1:]] = np.diff(t[rows])
+            at, far = kernels.medoid_and_diameter(p[rows], geographic)
+            medoid[rows[at]], diameter[rows[at]] = True, int(np.rint(far))
+    return gap, medoid, diameter
 
 
 def stops_of(labelled: DataFrame, dur_min: int = 0, shapes: bool = True, traj_cols: Mapping[str, str] | None = None, passthrough: Sequence[str] = (), **given: str) -> DataFrame:
@@ -80,33 +136,34 @@ def _merge_places(t, p, geographic, labels, dt_max, eps):
 _CORES = [("core", T.LongType()), ("promotion_time", T.LongType())]
 
 
-def _with_promotion(t, p, g, dist_thresh, time_thresh, found):
-    import pandas as pd
-
-    since = pd.Series(kernels.promotion(t, p, g, dist_thresh, time_thresh, *found), dtype="Int64")
-    return (*found, since.mask(since < 0).array)
+def _with_promotion(t, p, g, dist_thresh, time_thresh, found, near):
+    since = kernels.promotion(t, p, g, dist_thresh, time_thresh, *found, near=near)
+    return (*found, np.ma.masked_less(since, 0))
 
 
 def ta_dbscan_labels(pings: DataFrame, dist_thresh: float, min_pts: int, time_thresh: float, return_cores: bool = False, remove_overlaps: bool = True, **names) -> DataFrame:
     def label(t, p, g):
-        found = kernels.ta_dbscan(t, p, g, dist_thresh, min_pts, time_thresh, remove_overlaps)
-        return _with_promotion(t, p, g, dist_thresh, time_thresh, found) if return_cores else found[0]
+        near = kernels.neighbours(t, p, g, dist_thresh, time_thresh)
+        found = kernels.ta_dbscan(t, p, g, dist_thresh, min_pts, time_thresh, remove_overlaps, near=near)
+        return _with_promotion(t, p, g, dist_thresh, time_thresh, found, near) if return_cores else found[0]
 
     return per_user(pings, label, _CORES if return_cores else (), **names)
 
 
 def dbstop_labels(pings: DataFrame, dist_thresh: float, min_pts: int, time_thresh: float, return_cores: bool = False, **names) -> DataFrame:
     def label(t, p, g):
-        found = kernels.dbstop(t, p, g, dist_thresh, min_pts, time_thresh)
-        return _with_promotion(t, p, g, dist_thresh, time_thresh, found) if return_cores else found[0]
+        near = kernels.neighbours(t, p, g, dist_thresh, time_thresh)
+        found = kernels.dbstop(t, p, g, dist_thresh, min_pts, time_thresh, near=near)
+        return _with_promotion(t, p, g, dist_thresh, time_thresh, found, near) if return_cores else found[0]
 
     return per_user(pings, label, _CORES if return_cores else (), **names)
 
 
 def seqscan_labels(pings: DataFrame, dist_thresh: float, min_pts: int = 3, time_thresh: float = 90, dur_min: float = 5, back_merge: bool = False, return_cores: bool = False, **names) -> DataFrame:
     def label(t, p, g):
-        found = kernels.seqscan(t, p, g, dist_thresh, min_pts, time_thresh, dur_min, back_merge)
-        return _with_promotion(t, p, g, dist_thresh, time_thresh, found) if return_cores else found[0]
+        near = kernels.neighbours(t, p, g, dist_thresh, time_thresh)
+        found = kernels.seqscan(t, p, g, dist_thresh, min_pts, time_thresh, dur_min, back_merge, near=near)
+        return _with_promotion(t, p, g, dist_thresh, time_thresh, found, near) if return_cores else found[0]
 
     return per_user(pings, label, _CORES if return_cores else (), **names)
 

@@ -3,11 +3,14 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from roamframe.operators import contacts, visits
 from roamframe.operators.intervals import overlap_counts
+from roamframe.plans import queries
 from roamframe.sim import agents, city
+from roamframe.stops import kernels, runner
 
 STOPS = "user_id string, location_id string, start_timestamp long, end_timestamp long, x double, y double"
 
@@ -115,3 +118,30 @@ def test_overlaps_counted_without_pairs(spark):
     df = overlap_counts(s, s, ["location_id"], (contacts.START, contacts.START), (contacts.END, contacts.END))
     assert {r.location_id: r.n for r in df.collect()} == want
     assert "Join" not in plan(df)
+
+
+@pytest.mark.parametrize("name", ["hdbscan_stops", "ta_dbscan_stops", "dbstop_stops", "seqscan_stops", "lachesis_stops", "density_cores"])
+def test_stops_take_one_pass(name, spark, sf):
+    p = plan(queries.QUERIES[name](spark, sf))
+    assert p.count("MapInArrow") == 1 and "InPandas" not in p and "Join" not in p
+
+
+def test_neighbours_and_shapes_in_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    t, p = np.sort(rng.integers(0, 9000, 90)), rng.integers(0, 9, (90, 2)).astype(float)
+    near = [[j for j in range(90) if j != i and abs(t[i] - t[j]) <= 600 and np.hypot(*(p[i] - p[j])) <= 3] for i in range(90)]
+    d = np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1])
+    for cells in (1, 500, 1 << 20):
+        monkeypatch.setattr(kernels, "CELLS", cells)
+        assert [x.tolist() for x in kernels.neighbours(t, p, False, 3, 10)] == near
+        assert kernels.medoid_and_diameter(p, False) == (int(np.argmin(np.round(d.sum(axis=1), 9))), d.max())
+
+
+def test_users_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(u, t, 0.0, 0.0) for u in ("a", "b", None, "c") for t in range({"b": 30}.get(u, 3))]
+        df = runner.per_user(spark.createDataFrame(rows, "user_id string, timestamp long, x double, y double").repartition(3), lambda t, p, g: np.full(len(t), len(t)))
+        assert sorted((r.user_id or "", r.timestamp, r.cluster) for r in df.collect()) == sorted((u or "", t, 30 if u == "b" else 3) for u, t, *_ in rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
