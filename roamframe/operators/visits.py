@@ -123,13 +123,16 @@ def blocks_in_boxes(boxes: DataFrame, block: float = 1.0) -> DataFrame:
 def raster_blocks(layers: DataFrame, priority: Sequence[str], block: float = 1.0, kind: str = "kind") -> DataFrame:
     """(coord_x, coord_y, kind, location_id) of the blocks that boxes (location_id, x0, y0, x1, y1) of several kinds touch.
 
-    A block is of the kind that comes first in priority, kinds that are not in it last and by name; of boxes of one kind the smallest id has it.
+    A block is of the kind that comes first in priority, kinds that are not in it last and by name; of boxes of one kind the smallest id has it. So equal boxes
+    of a kind are one before they are cut into blocks, and blocks are summed by kind before kinds are compared: both by hashes, without sorting all blocks.
     """
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, priority)), F.col(kind)).cast("int"), F.lit(0))
     rank = F.when(rank > 0, rank).otherwise(len(priority) + 1)
     scaled = layers.select("location_id", F.col(kind).alias("kind"), rank.alias("__rank"), *[(F.col(c) / block).alias(c) for c in ("x0", "y0", "x1", "y1")])
     xs = F.sequence(F.floor("x0").cast("long"), F.greatest(F.floor("x0").cast("long"), F.ceil("x1").cast("long") - 1))
     ys = F.sequence(F.floor("y0").cast("long"), F.greatest(F.floor("y0").cast("long"), F.ceil("y1").cast("long") - 1))
-    cells = scaled.withColumn("coord_x", F.explode(xs)).withColumn("coord_y", F.explode(ys))
-    best = cells.groupBy("coord_x", "coord_y").agg(F.min(F.struct("__rank", "kind", "location_id")).alias("__b"))
+    boxes = scaled.groupBy("x0", "y0", "x1", "y1", "__rank", "kind").agg(F.min("location_id").alias("location_id"))
+    cells = boxes.withColumn("coord_x", F.explode(xs)).withColumn("coord_y", F.explode(ys))
+    kinds = cells.groupBy("coord_x", "coord_y", "__rank", "kind").agg(F.min("location_id").alias("location_id"))
+    best = kinds.groupBy("coord_x", "coord_y").agg(F.min(F.struct("__rank", "kind", "location_id")).alias("__b"))
     return best.select("coord_x", "coord_y", "__b.kind", "__b.location_id")

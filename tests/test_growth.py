@@ -145,3 +145,11 @@ def test_users_across_batches(spark):
         assert sorted((r.user_id or "", r.timestamp, r.cluster) for r in df.collect()) == sorted((u or "", t, 30 if u == "b" else 3) for u, t, *_ in rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_equal_boxes_are_rastered_once(spark):
+    boxes = [(i, 0.0, 0.0, 2.0, 1.0, "ab"[i % 2]) for i in range(20)]
+    got = visits.raster_blocks(spark.createDataFrame(boxes, "location_id long, x0 double, y0 double, x1 double, y1 double, kind string"), ["b"])
+    assert sorted(map(tuple, got.collect())) == [(0, 0, "b", 1), (1, 0, "b", 1)]
+    p = plan(got)
+    assert p.rindex("Generate") < p.rindex("HashAggregate")
