@@ -82,12 +82,13 @@ def fill_gaps(stops: DataFrame, first: int | None = None, last: int | None = Non
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, 0))
     cols = [*key, start, end, location]
     rows = stops.select(*cols).withColumns({"__reach": reach, "__next": F.lead(start).over(w), "__n": F.row_number().over(w)})
-    parts = [rows.select(*key, F.col("__reach").alias(start), F.coalesce("__next", F.lit(last)).alias(end))]
+    part = lambda a, b, c: F.struct(a.cast("long").alias(start), b.cast("long").alias(end), c.alias(location))
+    until = F.coalesce("__next", F.lit(last))
+    parts = [part(F.col(start), F.col(end), F.col(location)), F.when(until > F.col("__reach"), part(F.col("__reach"), until, F.lit("None")))]
     if first is not None:
-        parts.append(rows.where("__n = 1").select(*key, F.lit(first).cast("long").alias(start), F.col(start).alias(end)))
-    gaps = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    gaps = gaps.where(F.col(end) > F.col(start)).withColumn(location, F.lit("None"))
-    return stops.select(*cols).unionByName(gaps).withColumn("duration", floor_minutes(F.col(end) - F.col(start)))
+        parts.append(F.when((F.col("__n") == 1) & (F.col(start) > first), part(F.lit(first), F.col(start), F.lit("None"))))
+    out = rows.select(*key, F.explode(F.array_compact(F.array(*parts))).alias("__p")).select(*key, "__p.*")
+    return out.withColumn("duration", floor_minutes(F.col(end) - F.col(start)))
 
 
 def overlapping_stops(stops: DataFrame, key: Sequence[str] = ("user_id",), start: str = START, end: str = END) -> DataFrame:

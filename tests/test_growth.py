@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roamframe.operators import contacts, visits
+from roamframe.operators import contacts, stop_tables, visits
 from roamframe.operators.intervals import overlap_counts
 from roamframe.plans import queries
 from roamframe.sim import agents, city
@@ -153,3 +153,10 @@ def test_equal_boxes_are_rastered_once(spark):
     assert sorted(map(tuple, got.collect())) == [(0, 0, "b", 1), (1, 0, "b", 1)]
     p = plan(got)
     assert p.rindex("Generate") < p.rindex("HashAggregate")
+
+
+def test_gaps_are_filled_in_one_pass(spark):
+    s = spark.createDataFrame([("u", 10, 20, "a"), ("u", 30, 40, "b"), ("u", 35, 38, "c")], "user_id string, start_timestamp long, end_timestamp long, location_id string")
+    df = stop_tables.fill_gaps(s, 0, 100)
+    assert "Union" not in plan(df)
+    assert sorted(map(tuple, df.select("start_timestamp", "end_timestamp", "location_id").collect())) == [(0, 10, "None"), (10, 20, "a"), (20, 30, "None"), (30, 40, "b"), (35, 38, "c"), (40, 100, "None")]
